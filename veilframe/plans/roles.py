@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SALT = "test_salt_123"
 REFERENCE_DATE = "2026-01-01"
+_EVENT = "struct<name:string,timestamp:timestamp,attributes:map<string,string>>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +68,11 @@ def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def device_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as encounters: most patients have none, and there are no notes at all."""
-    return table(spark, sf_dir, "events").select(
+    return device_columns(table(spark, sf_dir, "events"))
+
+
+def device_columns(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("patient"),
         F.col("ts").alias("start"),
@@ -81,6 +86,12 @@ def as_spans(events: DataFrame) -> DataFrame:
     end_time = F.col("ts").cast("timestamp")
     elapsed_us = F.round(F.col("value") * 1000).cast("bigint")
     failed = F.col("event_type") == "error"
+    trace = F.concat(F.lit("error in event "), F.col("event_id").cast("string"))
+    exception = F.struct(
+        F.lit("exception").alias("name"),
+        end_time.alias("timestamp"),
+        F.create_map(F.lit("exception.stacktrace"), trace).alias("attributes"),
+    ).cast(_EVENT)
     return events.select(
         F.col("user_id").cast("string").alias("trace_id"),
         F.lpad(F.col("event_id").cast("string"), 16, "0").alias("span_id"),
@@ -94,9 +105,7 @@ def as_spans(events: DataFrame) -> DataFrame:
         .otherwise("")
         .alias("status_description"),
         F.from_json("props", "map<string,string>").alias("attributes"),
-        F.lit(None)
-        .cast("array<struct<name:string,timestamp:timestamp,attributes:map<string,string>>>")
-        .alias("events"),
+        F.when(failed, F.array(exception)).otherwise(F.array().cast(f"array<{_EVENT}>")).alias("events"),
     )
 
 

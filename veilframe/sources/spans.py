@@ -40,7 +40,8 @@ def finish_spans(ended: DataFrame) -> DataFrame:
     elapsed_ms = F.round((F.col("end_ns") - F.col("start_ns")) / 1_000_000, 2)
 
     def moment(ns: str):
-        at = F.timestamp_micros(F.floor(F.col(ns) / 1000).cast("bigint"))
+        # Whole-number division: epoch nanoseconds exceed what a double holds exactly.
+        at = F.timestamp_micros(F.call_function("div", F.col(ns), F.lit(1000)))
         return F.when(F.col(ns) != 0, at)
 
     def hex_id(name: str, width: int):
