@@ -39,24 +39,32 @@ def age_bucket(
     formats: Sequence[str] = (),
 ) -> Column:
     """Age group at ``reference_date`` (default today): everyone from 90 up shares one
-    bucket, minors another, the rest go by decade."""
+    bucket, minors another, the rest go by decade; null where the date is unreadable
+    gives ``UNKNOWN``."""
+    return age_group(age_in_years(parse_date(birth_date, formats), reference_date))
+
+
+def age_in_years(born: Column, reference_date: dt.date | str | Column | None = None) -> Column:
+    """Birthdays passed since the date ``born``."""
     if reference_date is None:
-        ref = F.current_date()
+        reference = F.current_date()
     elif isinstance(reference_date, Column):
-        ref = reference_date
+        reference = reference_date
     else:
-        ref = F.lit(str(reference_date)).cast("date")
-    born = parse_date(birth_date, formats)
+        reference = F.lit(str(reference_date)).cast("date")
+    # As numbers yyyymmdd two dates are a whole year apart exactly on the birthday.
+    return F.floor((_as_number(reference) - _as_number(born)) / 10_000)
+
+
+def _as_number(date: Column) -> Column:
+    return F.year(date) * 10_000 + F.month(date) * 100 + F.dayofmonth(date)
 
-    def day_in_year(d: Column) -> Column:
-        return F.month(d) * 100 + F.dayofmonth(d)
 
-    before_birthday = (day_in_year(ref) < day_in_year(born)).cast("int")
-    age = F.year(ref) - F.year(born) - before_birthday
-    decade = (F.floor(age / 10) * 10).cast("int")
+def age_group(age: Column) -> Column:
+    decade = age - age % 10
     return (
-        F.when(born.isNull(), UNKNOWN_BUCKET)
-        .when(age >= TOP_AGE, TOP_BUCKET)
+        F.when(age >= TOP_AGE, TOP_BUCKET)
         .when(age < ADULT_AGE, MINOR_BUCKET)
-        .otherwise(F.concat(decade.cast("string"), F.lit("-"), (decade + 9).cast("string")))
+        .when(age.isNotNull(), F.concat(decade.cast("string"), F.lit("-"), (decade + 9).cast("string")))
+        .otherwise(UNKNOWN_BUCKET)
     )

@@ -28,7 +28,10 @@ def as_identifier(raw_id: Column) -> Column:
 
 def _salted_key(raw_id: Column, salt: str, prefix: str, hex_len: int) -> Column:
     digest = F.sha2(F.concat(F.lit(f"{salt}_"), as_identifier(raw_id)), 256)
-    return F.concat(F.lit(prefix), F.upper(F.substring(digest, 1, hex_len)))
+    key = F.concat(F.lit(prefix), F.upper(F.substring(digest, 1, hex_len)))
+    # The key is never null, but Spark takes sha2 for nullable and would hash every row
+    # a second time before a join, only to test for null.
+    return F.coalesce(key, F.lit(prefix))
 
 
 def patient_key(raw_id: Column, salt: str, hex_len: int = PATIENT_KEY_HEX) -> Column:
@@ -68,4 +71,4 @@ def date_offset(raw_id: Column, salt: str) -> Column:
     remainder = F.pmod(piece(1, 2) * carry + piece(3, piece_hex), F.lit(OFFSET_CYCLE_DAYS))
     remainder = F.pmod(remainder * carry + piece(18, piece_hex), F.lit(OFFSET_CYCLE_DAYS))
     days = (remainder + OFFSET_LOWEST_DAY).cast("int")
-    return F.coalesce(F.nullif(days, F.lit(0)), F.lit(OFFSET_INSTEAD_OF_ZERO))
+    return days + (days == 0).cast("int") * OFFSET_INSTEAD_OF_ZERO

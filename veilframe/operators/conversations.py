@@ -34,17 +34,26 @@ def latest_user_message(messages: DataFrame) -> DataFrame:
 
 
 def intent(message: Column, intents: Intents = DIAGNOSTIC_INTENTS, default: str = DEFAULT_INTENT) -> Column:
-    """Label of the first entry of ``intents`` one of whose words the message contains."""
-    text = F.lower(F.coalesce(message, F.lit("")))
+    """Label of the first entry of ``intents`` one of whose words the message, which is
+    in lower case, contains."""
     label = None
     for name, words in intents:
         hit = F.lit(False)
         for word in words:
-            hit = hit | text.contains(word.lower())
+            hit = hit | message.contains(word.lower())
         label = F.when(hit, name) if label is None else label.when(hit, name)
     return F.lit(default) if label is None else label.otherwise(default)
 
 
+def tag_texts(
+    texts: DataFrame, column: str, intents: Intents = DIAGNOSTIC_INTENTS, default: str = DEFAULT_INTENT
+) -> DataFrame:
+    """Adds ``intent`` for a text column. Lower case comes from a projection of its own,
+    so that it is made once a row and not once a word."""
+    lowered = texts.withColumn("_lowered", F.lower(F.coalesce(F.col(column), F.lit(""))))
+    return lowered.withColumn("intent", intent(F.col("_lowered"), intents, default)).drop("_lowered")
+
+
 def tag_intents(
     messages: DataFrame, intents: Intents = DIAGNOSTIC_INTENTS, default: str = DEFAULT_INTENT
 ) -> DataFrame:

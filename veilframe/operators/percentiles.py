@@ -26,7 +26,7 @@ def exact_percentiles(
     counted = (
         df.groupBy(group, value)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("band", F.floor(F.ln(value) * BANDS_PER_E))
+        .withColumn("band", F.coalesce(F.floor(F.ln(value) * BANDS_PER_E), F.lit(0)))
     )
     by_group = W.partitionBy(group)
     bands = (

@@ -18,12 +18,15 @@ TOTALS = ["total_encounters", "total_clinical_cost"]
 SPAN_OF_CARE = ["first_encounter_time", "last_encounter_time"]
 
 
-def _totals(encounters: DataFrame) -> DataFrame:
+def _totals(encounters: DataFrame, dates: bool) -> DataFrame:
+    def moment(column: str):
+        return F.col(column).cast("date") if dates else F.col(column)
+
     return encounters.groupBy(KEY).agg(
         F.count("encounter_id").alias("total_encounters"),
         F.sum(F.nanvl("cost", F.lit(None).cast("double"))).alias("total_clinical_cost"),
-        F.min("start_time").alias("first_encounter_time"),
-        F.max("end_time").alias("last_encounter_time"),
+        F.min(moment("start_time")).cast("string").alias("first_encounter_time"),
+        F.max(moment("end_time")).cast("string").alias("last_encounter_time"),
     )
 
 
@@ -38,15 +41,19 @@ def _attach(patients: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def clinical_summary(patients: DataFrame, encounters: DataFrame) -> DataFrame:
+def clinical_summary(patients: DataFrame, encounters: DataFrame, dates: bool = True) -> DataFrame:
     """Encounter count, cost and first and last dates for each patient profile.
 
     Both sides are aggregated before they meet: encounters to one row a key, patients
     to one row a profile with its number of copies, by which the totals are multiplied
     as the join would have repeated them. Partial aggregation runs ahead of each
     shuffle, so neither a busy patient nor a pile of duplicates reaches one task whole.
+
+    Times are the ``yyyy-MM-dd`` texts of de-identified encounters. They are compared as
+    dates, which Spark aggregates by hashing, where text would have to be sorted first;
+    pass ``dates=False`` for tables with other texts.
     """
-    return _attach(patients, _totals(encounters))
+    return _attach(patients, _totals(encounters, dates))
 
 
 def clinical_summary_of_raw(

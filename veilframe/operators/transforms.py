@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from veilframe.functions import (
-    age_bucket,
     as_identifier,
     coarsen_zip,
     date_offset,
@@ -25,6 +24,7 @@ from veilframe.functions import (
     to_cost,
     to_label,
 )
+from veilframe.functions.dates import age_group, age_in_years
 from veilframe.functions.identifiers import ENCOUNTER_KEY_HEX, PATIENT_KEY_HEX
 from veilframe.functions.places import MIN_ZIP3_POPULATION, ZIP_MASK, ZIP_PREFIX_LEN
 from veilframe.functions.values import DEFAULT_VISIT_REASON
@@ -73,23 +73,35 @@ def deidentify_patients(
     way a stringified missing cell is.
     """
     raw = _Input(df, PATIENT_COLUMNS)
-    raw_id = raw.get("id")
     token = UNKNOWN if null_token is None else null_token
-    offset = date_offset(raw_id, salt)
-    birth_date = raw.date("birth_date", date_formats)
-    return df.select(
-        patient_key(raw_id, salt, key_hex_len).alias("patient_deid_key"),
+    raw_id, birth_date, age = F.col("_id"), F.col("_birth_date"), F.col("_age")
+    # Parsing, hashing and ages get projections of their own: Spark keeps those apart
+    # from expressions that use them more than once, so each is worked out once a row.
+    parsed = df.select(
+        as_identifier(raw.get("id")).alias("_id"),
+        raw.date("birth_date", date_formats).alias("_birth_date"),
+        raw.date("death_date", date_formats).alias("_death_date"),
         raw.label("gender", UNKNOWN, token).alias("gender"),
         raw.label("race", UNKNOWN, token).alias("race"),
         raw.label("ethnicity", UNKNOWN, token).alias("ethnicity"),
-        F.date_add(birth_date, offset).cast("string").alias("shifted_birth_date"),
-        F.date_add(raw.date("death_date", date_formats), offset)
-        .cast("string")
-        .alias("shifted_death_date"),
-        age_bucket(birth_date, reference_date).alias("age_bucket"),
         raw.label("city", UNKNOWN, token).alias("city"),
         raw.label("state", UNKNOWN, token).alias("state"),
-        coarsen_zip(raw.get("zip") if raw.has("zip") else F.lit("")).alias("coarsened_zip"),
+        (raw.get("zip") if raw.has("zip") else F.lit("")).alias("_zip"),
+    )
+    derived = parsed.withColumns(
+        {"_offset": date_offset(raw_id, salt), "_age": age_in_years(birth_date, reference_date)}
+    )
+    return derived.select(
+        patient_key(raw_id, salt, key_hex_len).alias("patient_deid_key"),
+        "gender",
+        "race",
+        "ethnicity",
+        F.date_add(birth_date, F.col("_offset")).cast("string").alias("shifted_birth_date"),
+        F.date_add("_death_date", F.col("_offset")).cast("string").alias("shifted_death_date"),
+        age_group(age).alias("age_bucket"),
+        "city",
+        "state",
+        coarsen_zip(F.col("_zip")).alias("coarsened_zip"),
     )
 
 
@@ -112,44 +124,55 @@ def deidentify_encounters(
     pseudonym and the organization and payer as they are.
     """
     raw = _Input(df, ENCOUNTER_COLUMNS)
-    patient = raw.get("patient") if raw.has("patient") else F.lit("")
     token = UNKNOWN if null_token is None else null_token
     text_token = "" if null_token is None else null_token
-    key = patient_key(patient, salt, key_hex_len)
-    if mapping is not None:
-        override = unique_mapping(mapping).select(
-            F.col("raw_id").alias("_mapped_id"), F.col("patient_deid_key").alias("_mapped_key")
-        )
-        df = df.join(override, as_identifier(patient) == F.col("_mapped_id"), "left")
-        key = F.coalesce(F.col("_mapped_key"), key)
-    offset = date_offset(patient, salt)
-    reason = raw.label(
-        "description", DEFAULT_VISIT_REASON, DEFAULT_VISIT_REASON if null_token is None else null_token
-    )
-    notes = raw.get("notes") if raw.has("notes") else F.lit(None).cast("string")
+    reason_token = DEFAULT_VISIT_REASON if null_token is None else null_token
+    patient = F.col("_patient")
+    null_text = F.lit(None).cast("string")
+
+    def text(logical: str) -> Column:
+        return raw.get(logical).cast("string") if raw.has(logical) else null_text
+
     columns = [
+        as_identifier(raw.get("patient") if raw.has("patient") else F.lit("")).alias("_patient"),
         encounter_key(raw.get("id"), encounter_hex_len, encounter_salt).alias("encounter_id"),
-        key.alias("patient_deid_key"),
-        F.date_add(raw.date("start", date_formats), offset).cast("string").alias("start_time"),
-        F.date_add(raw.date("stop", date_formats), offset).cast("string").alias("end_time"),
+        raw.date("start", date_formats).alias("_start"),
+        raw.date("stop", date_formats).alias("_stop"),
         raw.label("encounter_class", UNKNOWN, token).alias("encounter_class"),
         raw.label("code", "", text_token).alias("clinical_code"),
         raw.label("description", "", text_token).alias("description"),
         (to_cost(raw.get("cost"), bad_cost) if raw.has("cost") else F.lit(0.0)).alias("cost"),
-        redact_notes(note_or_default(notes, reason)).alias("clinical_notes"),
+        note_or_default(text("notes"), raw.label("description", DEFAULT_VISIT_REASON, reason_token)).alias(
+            "_note"
+        ),
     ]
     if keep_parties:
-        null_text = F.lit(None).cast("string")
         columns += [
-            (provider_key(raw.get("provider"), salt) if raw.has("provider") else null_text).alias(
-                "provider_deid_key"
-            ),
-            (raw.get("organization").cast("string") if raw.has("organization") else null_text).alias(
-                "organization"
-            ),
-            (raw.get("payer").cast("string") if raw.has("payer") else null_text).alias("payer"),
+            provider_key(text("provider"), salt).alias("provider_deid_key"),
+            text("organization").alias("organization"),
+            text("payer").alias("payer"),
         ]
-    return df.select(*columns)
+    visits = df.select(*columns).withColumn("_offset", date_offset(patient, salt))
+    key = patient_key(patient, salt, key_hex_len)
+    if mapping is not None:
+        override = unique_mapping(mapping).select(
+            F.col("raw_id").alias("_patient"), F.col("patient_deid_key").alias("_known_key")
+        )
+        visits = visits.join(override, "_patient", "left")
+        key = F.coalesce("_known_key", key)
+    parties = ["provider_deid_key", "organization", "payer"] if keep_parties else []
+    return visits.select(
+        "encounter_id",
+        key.alias("patient_deid_key"),
+        F.date_add("_start", F.col("_offset")).cast("string").alias("start_time"),
+        F.date_add("_stop", F.col("_offset")).cast("string").alias("end_time"),
+        "encounter_class",
+        "clinical_code",
+        "description",
+        "cost",
+        redact_notes(F.col("_note")).alias("clinical_notes"),
+        *parties,
+    )
 
 
 def pseudonym_map(df: DataFrame, salt: str, key_hex_len: int = PATIENT_KEY_HEX) -> DataFrame:

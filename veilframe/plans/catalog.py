@@ -319,7 +319,7 @@ def intent_tags(spark: SparkSession, d: str) -> DataFrame:
 
 def diagnostic_intents(spark: SparkSession, d: str) -> DataFrame:
     documents = roles.table(spark, d, "documents")
-    return documents.select("doc_id", conversations.intent(F.col("text")).alias("intent"))
+    return conversations.tag_texts(documents, "text").select("doc_id", "intent")
 
 
 # Sources, sinks, whole jobs and streams ---------------------------------------------
