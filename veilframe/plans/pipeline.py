@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.operators.joins import join_counts
@@ -30,12 +30,12 @@ from veilframe.sources.tabular import read_encounters, read_patients, validate_i
 
 FAILURE_SPAN = "pipeline_failure"
 
-_ENDED_SPAN = """
-    trace_id string, span_id string, parent_span_id string, name string,
-    start_ns bigint, end_ns bigint, status_code string, status_description string,
-    attributes map<string,string>,
-    events array<struct<name:string,timestamp:timestamp,attributes:map<string,string>>>
-"""
+_TEXT_MAP = "map<string,string>"
+_EVENTS = f"array<struct<name:string,timestamp:timestamp,attributes:{_TEXT_MAP}>>"
+
+
+def _text_map(values: Mapping[str, str]) -> Column:
+    return F.create_map(*[F.lit(part) for item in values.items() for part in item]).cast(_TEXT_MAP)
 
 
 class RunLog:
@@ -56,30 +56,33 @@ class RunLog:
         """Log a span that ends now and return its duration in milliseconds."""
         end_ns = time.time_ns()
         attributes = {k: str(v) for k, v in attributes.items()}
-        events = []
+        events = F.array()
         if error is not None:
             attributes["error.message"] = str(error)
-            at = dt.datetime.fromtimestamp(end_ns / 1e9, dt.timezone.utc)
             detail = {
                 "exception.type": type(error).__name__,
                 "exception.message": str(error),
                 "exception.stacktrace": "".join(traceback.format_exception(error)),
             }
-            events.append(("exception", at, detail))
+            events = F.array(
+                F.struct(
+                    F.lit("exception"), F.timestamp_micros(F.lit(end_ns // 1000)), _text_map(detail)
+                )
+            )
         if self._path is not None:
-            row = (
-                self.run_id,
-                uuid.uuid4().hex[:16],
-                None,
-                name,
-                start_ns,
-                end_ns,
-                "OK" if error is None else "ERROR",
-                "" if error is None else str(error),
-                attributes,
-                events,
+            # Literals over one generated row: no Python worker has to start.
+            ended = self._spark.range(1, numPartitions=1).select(
+                F.lit(self.run_id).alias("trace_id"),
+                F.lit(uuid.uuid4().hex[:16]).alias("span_id"),
+                F.lit(None).cast("string").alias("parent_span_id"),
+                F.lit(name).alias("name"),
+                F.lit(start_ns).alias("start_ns"),
+                F.lit(end_ns).alias("end_ns"),
+                F.lit("OK" if error is None else "ERROR").alias("status_code"),
+                F.lit("" if error is None else str(error)).alias("status_description"),
+                _text_map(attributes).alias("attributes"),
+                events.cast(_EVENTS).alias("events"),
             )
-            ended = self._spark.createDataFrame([row], _ENDED_SPAN).coalesce(1)
             append_spans(finish_spans(ended), self._path)
         return round((end_ns - start_ns) / 1e6, 2)
 

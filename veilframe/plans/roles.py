@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SALT = "test_salt_123"
 REFERENCE_DATE = "2026-01-01"
 _EVENT = "struct<name:string,timestamp:timestamp,attributes:map<string,string>>"
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables. Its schema is read from the files once a session, as a
+    catalog would keep it, since each look costs a job."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = spark.sparkContext.applicationId, path
+    if known not in _schemas:
+        _schemas[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[known]).parquet(path)
 
 
 def _zip(key: str) -> Column:

@@ -21,6 +21,10 @@ SETTINGS = {
     "spark.sql.redaction.string.regex": SALT_REDACTION,
 }
 
+# For the session builder only: recording the Python call site of every column takes
+# longer than building the plan.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the library relies on to a session."""
