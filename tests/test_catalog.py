@@ -1,0 +1,40 @@
+"""Every query beside its SQL twin on the smallest tables."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import compare
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def con():
+    connection = duckdb.connect()
+    for name in compare.TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_query(spark, con, name):
+    df = entry.queries()[name](spark, SF_DIR)
+    rows = [tuple(r) for r in df.collect()]
+    sql = entry.oracle_sql().get(name)
+    if sql is not None:
+        assert compare.difference(df, rows, con, sql) is None
+    assert rows
+
+
+def test_every_oracle_has_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
