@@ -103,6 +103,21 @@ def test_cells_stay_text_and_missing_ones_are_null(spark, tmp_path):
     assert tuple(one) == ("007", "02138", None) and tuple(two) == (None, None, "x")
 
 
+def test_columns_differing_in_case(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Id,id,x2\n1,2,3\n")
+    with pytest.raises(ValueError, match="differ only in case"):
+        tabular.read_patients(spark, str(tmp_path / "p.csv"))
+    (tmp_path / "q.csv").write_text("x0,x1,Id\n1,2,3\n")
+    assert tabular.read_patients(spark, str(tmp_path / "q.csv")).columns == ["x0", "x1", "Id"]
+
+
+def test_small_areas_in_the_job(spark, salt, inputs, tmp_path):
+    population = spark.createDataFrame([("021", 30_000)], "zip string, population long")
+    run_pipeline(spark, *inputs, str(tmp_path / "s"), salt, zip_population=population)
+    zips = {r.coarsened_zip for r in spark.table(store.PATIENTS).collect()}
+    assert zips == {"021XX", "000XX"}
+
+
 def test_files_with_other_column_order_are_refused(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("Id,ZIP\n1,02138\n")

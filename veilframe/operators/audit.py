@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import as_identifier, matches_pii, patient_key
 from veilframe.functions.dates import TOP_BUCKET
 from veilframe.functions.identifiers import PATIENT_KEY_HEX
-from veilframe.operators.joins import orphan_encounters
+from veilframe.operators.joins import KEY
 from veilframe.sources.schemas import FORBIDDEN_COLUMNS
 from veilframe.sources.store import ENCOUNTERS, PATIENTS
 
@@ -70,14 +70,11 @@ def audit_tables(
             counts[BIRTH_DATE_CHECK, "shifted_birth_date"] = F.count_if(kept)
         reports.append(_one_pass(df, counts).select(F.lit(name).alias("table"), "*"))
     if orphans and {PATIENTS, ENCOUNTERS} <= set(tables):
-        lost = orphan_encounters(tables[PATIENTS], tables[ENCOUNTERS])
-        total = tables[ENCOUNTERS].agg(F.count(F.lit(1)).alias("total_rows"))
-        count = lost.agg(F.coalesce(F.sum("encounters"), F.lit(0)).alias("violations"))
         reports.append(
-            count.crossJoin(total).select(
+            _orphan_count(tables[PATIENTS], tables[ENCOUNTERS]).select(
                 F.lit(ENCOUNTERS).alias("table"),
                 F.lit(ORPHAN_CHECK).alias("check"),
-                F.lit("patient_deid_key").alias("column"),
+                F.lit(KEY).alias("column"),
                 "violations",
                 "total_rows",
             )
@@ -85,6 +82,16 @@ def audit_tables(
     return reduce(DataFrame.unionByName, reports)
 
 
+def _orphan_count(patients: DataFrame, encounters: DataFrame) -> DataFrame:
+    visits = encounters.groupBy(KEY).agg(F.count(F.lit(1)).alias("visits"))
+    known = patients.select(KEY).distinct().withColumn("known", F.lit(True))
+    lost = F.when(F.col("known").isNull(), F.col("visits"))
+    return visits.join(known, KEY, "left").agg(
+        F.coalesce(F.sum(lost), F.lit(0)).alias("violations"),
+        F.coalesce(F.sum("visits"), F.lit(0)).alias("total_rows"),
+    )
+
+
 ALL_CLEAR = "No residual direct identifiers found."
 
 

@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.joins import join_counts
 from veilframe.operators.summary import age_histogram, clinical_summary, reduced_summary
-from veilframe.operators.transforms import deidentify_encounters, deidentify_patients
+from veilframe.operators.transforms import (
+    deidentify_encounters,
+    deidentify_patients,
+    suppress_small_zips,
+)
 from veilframe.sources.spans import append_spans, finish_spans
 from veilframe.sources.store import (
     ENCOUNTERS,
@@ -121,6 +125,7 @@ def run_pipeline(
     span_log: str | None = None,
     reference_date: dt.date | str | None = None,
     partitioned: bool = False,
+    zip_population: DataFrame | None = None,
     patient_options: Mapping[str, Any] | None = None,
     encounter_options: Mapping[str, Any] | None = None,
 ) -> PipelineResult:
@@ -128,8 +133,10 @@ def run_pipeline(
 
     The wide tables are written first, in one map-only pass each; everything later
     reads the few columns it needs back from Parquet, so neither hashing nor redaction
-    is ever repeated. A failing stage leaves an error span and the tables and spans of
-    the stages before it, and the error is raised again.
+    is ever repeated. ``partitioned`` lays patients and summaries out by age bucket and
+    encounters by year; ``zip_population`` hides ZIP prefixes of small areas. A failing
+    stage leaves an error span and the tables and spans of the stages before it, and the
+    error is raised again.
     """
     log = RunLog(spark, span_log)
     result = PipelineResult(log.run_id)
@@ -153,6 +160,8 @@ def run_pipeline(
         df = deidentify_patients(
             read_patients(spark, patients_path), salt, reference_date, **(patient_options or {})
         )
+        if zip_population is not None:
+            df = suppress_small_zips(df, zip_population)
         rows = F.count(F.lit(1)).alias("rows")
         path, seen = _write_counted(
             df, output_dir, PATIENTS, ["age_bucket"] if partitioned else [], rows

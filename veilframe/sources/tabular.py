@@ -37,6 +37,7 @@ def read_text_cells(
         .option("enforceSchema", False)
         .csv(path)
     )
+    _refuse_renamed(raw.columns)
     if not missing_cells:
         return raw
     cells = [F.col(f"`{c}`") for c in raw.columns]
@@ -45,6 +46,19 @@ def read_text_cells(
     )
 
 
+def _refuse_renamed(columns: Sequence[str]) -> None:
+    """Spark numbers header names that differ only in case, which would hide them from the
+    lookup by name."""
+    bases: dict[str, str] = {}
+    for i, name in enumerate(columns):
+        base = name.removesuffix(str(i))
+        if base != name and bases.setdefault(base.lower(), base) != base:
+            raise ValueError(
+                f"columns {bases[base.lower()]!r} and {base!r} differ only in case; "
+                "set spark.sql.caseSensitive to true to read them"
+            )
+
+
 def read_patients(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
     return read_text_cells(spark, path, multiline)
 
