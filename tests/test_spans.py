@@ -180,6 +180,10 @@ def test_array_file(spark, tmp_path):
     assert one.attributes == {"n": "3", "deep": '{"x": 1}'}
     assert one.end_time == dt.datetime(2024, 1, 1, 0, 0, 1, 500000)
     assert two.status == "ERROR"
+    typed = read_spans(spark, str(tmp_path / "log.json"), array_file=True, typed_attributes=True)
+    kinds = typed.where("span_id = 's1'").select(F.schema_of_variant("attributes")).first()[0]
+    assert "n: BIGINT" in kinds and "x: BIGINT" in kinds
+    assert [r.span_id for r in S.failed_spans(typed).collect()] == ["s2"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -190,10 +194,11 @@ def test_stream_equals_batch(spark, tmp_path):
     path = str(tmp_path / "log")
     for part in log.randomSplit([0.5, 0.5], seed=1):
         append_spans(part, path)
-    live = stream.windowed_latency(stream.watch_spans(spark, path, 1))
+    live = stream.windowed_latency(stream.watch_spans(spark, path, 1), probabilities=(0.5, 0.99))
     query = stream.replace_table(live, str(tmp_path / "latency"), str(tmp_path / "c1"), drain=True)
     query.awaitTermination()
-    batch = stream.windowed_latency(read_spans(spark, path))
+    batch = stream.windowed_latency(read_spans(spark, path), probabilities=(0.5, 0.99))
+    assert batch.columns[-2:] == ["p50_ms", "p99_ms"]
     rows = spark.read.parquet(str(tmp_path / "latency"))
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, batch.collect()))
     alerts = S.failed_spans(stream.watch_spans(spark, path, 1)).select("span_id", "duration_ms")

@@ -108,21 +108,26 @@ def latency_percentiles_approx(
 ) -> DataFrame:
     """Durations at the given probabilities from a mergeable sketch of bounded size,
     within 1/``accuracy`` of the rank. One light shuffle; works on streams."""
-    sketch = F.approx_percentile("duration_ms", list(probabilities), accuracy)
+    sketch = duration_sketch(probabilities, accuracy)
     wide = timed_spans(spans).groupBy("name").agg(sketch.alias("values"))
-    return wide.select("name", *_percentile_columns(probabilities, lambda i: F.col("values")[i]))
+    return wide.select("name", *percentile_columns(F.col("values"), probabilities))
+
+
+def duration_sketch(probabilities: Sequence[float], accuracy: int = APPROX_ACCURACY) -> Column:
+    return F.approx_percentile("duration_ms", list(probabilities), accuracy)
 
 
 def latency_percentiles(spans: DataFrame, probabilities: Sequence[float] = PERCENTILES) -> DataFrame:
     """Durations at the given probabilities for each span name, exact and interpolated
     between neighbours."""
     wide = exact_percentiles(timed_spans(spans), "name", "duration_ms", probabilities)
-    return wide.select("name", *_percentile_columns(probabilities, lambda i: F.col("percentiles")[i]))
+    return wide.select("name", *percentile_columns(F.col("percentiles"), probabilities))
 
 
-def _percentile_columns(probabilities: Sequence[float], value) -> list[Column]:
+def percentile_columns(values: Column, probabilities: Sequence[float]) -> list[Column]:
+    """An array of percentiles as columns named like ``p95_ms``."""
     return [
-        F.round(value(i), 2).alias(f"p{p * 100:g}_ms".replace(".", "_")) for i, p in enumerate(probabilities)
+        F.round(values[i], 2).alias(f"p{p * 100:g}_ms".replace(".", "_")) for i, p in enumerate(probabilities)
     ]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import (
     StructField,
     StructType,
     TimestampType,
+    VariantType,
 )
 
 # Names each logical input column goes by, in order of preference.
@@ -72,6 +73,9 @@ SPAN = StructType(
         StructField("events", ArrayType(SPAN_EVENT)),
     ]
 )
+SPAN_TYPED = StructType(
+    [StructField(f.name, VariantType()) if f.name == "attributes" else f for f in SPAN.fields]
+)
 
 
 def resolve_columns(

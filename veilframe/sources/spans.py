@@ -6,26 +6,30 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.sources.schemas import SPAN
+from veilframe.sources.schemas import SPAN, SPAN_TYPED
 
 # Fixed value: ISO-8601 with microseconds and a numeric zone.
 ISO_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 MALFORMED = "DROPMALFORMED"
 
 
-def read_spans(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+def read_spans(
+    spark: SparkSession, path: str, array_file: bool = False, typed_attributes: bool = False
+) -> DataFrame:
     """All spans of a log; a missing, empty or unreadable log has none.
 
     ``array_file`` reads files holding one JSON array. Spark cannot split those, so
-    logs of any size should be JSON lines, the default.
+    logs of any size should be JSON lines, the default. Attributes are a map of texts,
+    or with ``typed_attributes`` a variant that keeps numbers and booleans apart.
     """
-    reader = spark.read.schema(SPAN).option("mode", MALFORMED).option("multiLine", array_file)
+    schema = SPAN_TYPED if typed_attributes else SPAN
+    reader = spark.read.schema(schema).option("mode", MALFORMED).option("multiLine", array_file)
     try:
         spans = reader.json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], SPAN)
+        return spark.createDataFrame([], schema)
     return spans.where(F.col("span_id").isNotNull() | F.col("name").isNotNull())
 
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veilframe.operators.spans import latency_metrics, timed_spans
+from veilframe.operators.spans import (
+    duration_sketch,
+    latency_metrics,
+    percentile_columns,
+    timed_spans,
+)
 from veilframe.sources.schemas import SPAN
 
 WINDOW = "5 minutes"
@@ -23,17 +30,33 @@ def watch_spans(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     )
 
 
-def windowed_latency(spans: DataFrame, window: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
-    """Latency summary for each span name and window of end time. In append mode a window
-    is final and its state dropped once the watermark passes it, so state stays bounded
-    by the windows still open."""
+def windowed_latency(
+    spans: DataFrame,
+    window: str = WINDOW,
+    lateness: str = LATENESS,
+    probabilities: Sequence[float] = (),
+) -> DataFrame:
+    """Latency summary for each span name and window of end time, with approximate
+    percentiles on request. In append mode a window is final and its state dropped once
+    the watermark passes it, so state stays bounded by the windows still open."""
+    metrics = latency_metrics()
+    if probabilities:
+        metrics.append(duration_sketch(probabilities).alias("values"))
     return (
         timed_spans(spans)
         .withWatermark("end_time", lateness)
         .groupBy(F.window("end_time", window).alias("window"), "name")
-        .agg(*latency_metrics())
-        .select("window.start", "window.end", "name", "invocations", "avg_ms", "min_ms", "max_ms")
-        .withColumnsRenamed({"start": "window_start", "end": "window_end"})
+        .agg(*metrics)
+        .select(
+            F.col("window.start").alias("window_start"),
+            F.col("window.end").alias("window_end"),
+            "name",
+            "invocations",
+            "avg_ms",
+            "min_ms",
+            "max_ms",
+            *percentile_columns(F.col("values"), probabilities),
+        )
     )
 
 
