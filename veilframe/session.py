@@ -7,8 +7,8 @@ from functools import cache
 
 from pyspark.sql import SparkSession
 
-# Salts appear as literals in plans; plans are printed and logged.
-SALT_REDACTION = r"(?i)salt[^,)]*"
+# A salt is a literal at the head of a concatenation; this hides it in printed plans.
+SALT_REDACTION = r"(?<=concat\()[^,]*_(?=, )"
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
