@@ -88,6 +88,19 @@ def test_digest_is_worked_out_once_a_row(spark, salt):
     assert plan(transforms.deidentify_patients(raw, salt, "2026-01-01")).count("try_cast(BIRTHDATE") == 1
 
 
+def test_generated_code_stays_short_enough_to_compile(spark, salt, capsys):
+    """HotSpot leaves methods over 8,000 bytes to the interpreter."""
+    fields = "Id string, PATIENT string, START string, STOP string, NOTES string, DESCRIPTION string, COST string"
+    raw = spark.createDataFrame([], fields)
+    for df in (
+        transforms.deidentify_encounters(raw, salt, keep_parties=True),
+        transforms.deidentify_patients(raw.withColumnRenamed("START", "BIRTHDATE"), salt, "2026-01-01"),
+    ):
+        df.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000
+
+
 def test_hot_patient_is_split(spark, stored):
     with settings(
         spark,

@@ -15,6 +15,7 @@ from veilframe.functions.redaction import (
     redact_email,
     redact_mrn,
     redact_notes,
+    redact_numbers,
     redact_phone,
     redact_ssn,
 )
@@ -36,6 +37,7 @@ __all__ = [
     "redact_email",
     "redact_mrn",
     "redact_notes",
+    "redact_numbers",
     "redact_phone",
     "redact_ssn",
     "shift_date",

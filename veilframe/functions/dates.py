@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # Fixed value: an ISO date with an optional time of day and zone.
 ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?)?\s*$"
 
+# Slashed dates read after ISO, month first and day first only where the
+# month cannot be one, as date parsers commonly do.
+SLASHED_DATES = ("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]")
+
 # Age groups.
 TOP_AGE = 90
 ADULT_AGE = 18
@@ -19,7 +23,7 @@ MINOR_BUCKET = "0-17"
 UNKNOWN_BUCKET = "UNKNOWN"
 
 
-def parse_date(value: Column, formats: Sequence[str] = ()) -> Column:
+def parse_date(value: Column, formats: Sequence[str] = SLASHED_DATES) -> Column:
     """Calendar date written in ``value``; null where it cannot be read. A zone offset does not move the date. ``formats`` are further
     Spark datetime patterns, tried in order after ISO."""
     text = value.cast("string")
@@ -28,7 +32,7 @@ def parse_date(value: Column, formats: Sequence[str] = ()) -> Column:
     return F.coalesce(iso, *others) if others else iso
 
 
-def shift_date(value: Column, days: Column, formats: Sequence[str] = ()) -> Column:
+def shift_date(value: Column, days: Column, formats: Sequence[str] = SLASHED_DATES) -> Column:
     """``value`` moved by ``days`` as ``yyyy-MM-dd`` text, null where unreadable."""
     return F.date_add(parse_date(value, formats), days).cast("string")
 
@@ -36,7 +40,7 @@ def shift_date(value: Column, days: Column, formats: Sequence[str] = ()) -> Colu
 def age_bucket(
     birth_date: Column,
     reference_date: dt.date | str | Column | None = None,
-    formats: Sequence[str] = (),
+    formats: Sequence[str] = SLASHED_DATES,
 ) -> Column:
     """Age group at ``reference_date`` (default today): everyone from 90 up shares one
     bucket, minors another, the rest go by decade; null where the date is unreadable

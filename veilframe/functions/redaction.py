@@ -61,6 +61,11 @@ def redact_mrn(text: Column) -> Column:
     return _redact(text, "mrn")
 
 
+def redact_numbers(text: Column) -> Column:
+    """SSN, then phone numbers."""
+    return F.when(_may_hold(text, "phone"), _replace(_redact(text, "ssn"), "phone")).otherwise(text)
+
+
 def redact_notes(text: Column) -> Column:
     """SSN, phone, email, MRN in this order over the whole text; null becomes empty.
 
@@ -68,7 +73,7 @@ def redact_notes(text: Column) -> Column:
     ``@`` or a colon.
     """
     text = F.coalesce(text.cast("string"), F.lit(""))
-    numbers = F.when(_may_hold(text, "phone"), _replace(_redact(text, "ssn"), "phone")).otherwise(text)
+    numbers = redact_numbers(text)
     emails = F.when(_may_hold(text, "email"), _replace(numbers, "email")).otherwise(numbers)
     return F.when(_may_hold(text, "mrn"), _replace(emails, "mrn")).otherwise(emails)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import as_identifier, date_offset, patient_key, to_cost
+from veilframe.functions.dates import SLASHED_DATES
 from veilframe.operators.joins import KEY
 from veilframe.operators.transforms import _Input, deidentify_patients
 from veilframe.sources.schemas import ENCOUNTER_COLUMNS
@@ -62,7 +63,7 @@ def clinical_summary_of_raw(
     salt: str,
     reference_date: dt.date | str | None = None,
     null_token: str | None = None,
-    date_formats: Sequence[str] = (),
+    date_formats: Sequence[str] = SLASHED_DATES,
     bad_cost: str = "raise",
 ) -> DataFrame:
     """``clinical_summary`` of the de-identified tables, straight from the raw ones.

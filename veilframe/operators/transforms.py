@@ -19,12 +19,14 @@ from veilframe.functions import (
     parse_date,
     patient_key,
     provider_key,
-    redact_notes,
+    redact_email,
+    redact_mrn,
+    redact_numbers,
     suppress_small_zip,
     to_cost,
     to_label,
 )
-from veilframe.functions.dates import age_group, age_in_years
+from veilframe.functions.dates import SLASHED_DATES, age_group, age_in_years
 from veilframe.functions.identifiers import ENCOUNTER_KEY_HEX, PATIENT_KEY_HEX
 from veilframe.functions.places import MIN_ZIP3_POPULATION, ZIP_MASK, ZIP_PREFIX_LEN
 from veilframe.functions.values import DEFAULT_VISIT_REASON
@@ -64,7 +66,7 @@ def deidentify_patients(
     salt: str,
     reference_date: dt.date | str | None = None,
     null_token: str | None = None,
-    date_formats: Sequence[str] = (),
+    date_formats: Sequence[str] = SLASHED_DATES,
     key_hex_len: int = PATIENT_KEY_HEX,
 ) -> DataFrame:
     """Ten safe columns; names, numbers, contacts and anything unlisted are left out.
@@ -110,7 +112,7 @@ def deidentify_encounters(
     salt: str,
     mapping: DataFrame | None = None,
     null_token: str | None = None,
-    date_formats: Sequence[str] = (),
+    date_formats: Sequence[str] = SLASHED_DATES,
     bad_cost: str = "raise",
     key_hex_len: int = PATIENT_KEY_HEX,
     encounter_hex_len: int = ENCOUNTER_KEY_HEX,
@@ -160,6 +162,7 @@ def deidentify_encounters(
         )
         visits = visits.join(override, "_patient", "left")
         key = F.coalesce("_known_key", key)
+    visits = redact_column(visits, "_note")
     parties = ["provider_deid_key", "organization", "payer"] if keep_parties else []
     return visits.select(
         "encounter_id",
@@ -170,11 +173,22 @@ def deidentify_encounters(
         "clinical_code",
         "description",
         "cost",
-        redact_notes(F.col("_note")).alias("clinical_notes"),
+        F.col("_note").alias("clinical_notes"),
         *parties,
     )
 
 
+def redact_column(df: DataFrame, column: str) -> DataFrame:
+    """``redact_notes`` of one column, a projection for each step. The nested expression
+    repeats earlier steps in each branch of later ones, which beside other columns makes
+    generated code too long for the JVM to compile."""
+    text = F.col(column)
+    df = df.withColumn(column, F.coalesce(text.cast("string"), F.lit("")))
+    for step in (redact_numbers, redact_email, redact_mrn):
+        df = df.withColumn(column, step(text))
+    return df
+
+
 def pseudonym_map(df: DataFrame, salt: str, key_hex_len: int = PATIENT_KEY_HEX) -> DataFrame:
     """(raw_id, patient_deid_key) of a raw patient table. It re-identifies people: keep it
     out of the de-identified store."""

@@ -100,7 +100,7 @@ def redact_notes(spark: SparkSession, d: str) -> DataFrame:
 
 def redact_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = roles.table(spark, d, "pages")
-    return pages.select("page_id", V.redact_notes(F.col("html")).alias("redacted"))
+    return transforms.redact_column(pages, "html").select("page_id", F.col("html").alias("redacted"))
 
 
 def redact_each(spark: SparkSession, d: str) -> DataFrame:
