@@ -348,7 +348,7 @@ def csv_encounters(spark: SparkSession, d: str) -> DataFrame:
     return transforms.deidentify_encounters(tabular.read_encounters(spark, path), SALT)
 
 
-def csv_pipeline(spark: SparkSession, d: str) -> DataFrame:
+def csv_to_store(spark: SparkSession, d: str) -> DataFrame:
     """The whole job from CSV files to the stored summary."""
     root = _scratch(spark, "job")
     for name, df in (("patients", roles.patients(spark, d)), ("encounters", roles.encounters(spark, d))):
@@ -469,7 +469,7 @@ def queries() -> dict[str, Query]:
         diagnostic_intents,
         stored_tables,
         csv_encounters,
-        csv_pipeline,
+        csv_to_store,
         span_log_roundtrip,
         stream_latency,
         stream_failed_spans,

@@ -272,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
             FROM documents""",
         "stored_tables": SUMMARY,
         "csv_encounters": DEID_ENCOUNTERS,
-        "csv_pipeline": SUMMARY,
+        "csv_to_store": SUMMARY,
         "span_log_roundtrip": f"""WITH {SPANS} SELECT * EXCLUDE (parent_span_id)
             REPLACE (lpad(trace_id, 32, '0') AS trace_id) FROM spans""",
         "stream_latency": f"""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
