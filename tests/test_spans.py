@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.operators import query
 from veilframe.operators import spans as S
 from veilframe.operators.percentiles import exact_percentiles
 from veilframe.sources.schemas import SPAN
@@ -70,6 +71,16 @@ def test_trace_details_and_listing(log):
     assert S.span_count(log).first().spans == len(ROWS)
 
 
+def test_reports_name_what_is_missing(log):
+    healthy = log.where("span_id = 's7'")
+    assert query.to_report(S.failed_spans(healthy), query.NO_FAILURES) == {"status": "ALL_HEALTHY"}
+    assert query.to_report(S.trace_details(log, "none"), query.NO_SUCH_TRACE) == {"status": "NOT_FOUND"}
+    assert query.to_report(S.recent_spans(log.limit(0)), query.NO_SPANS) == {"status": "NO_TRACES_FOUND"}
+    rows = query.to_report(S.trace_details(log, "t1"), query.NO_SUCH_TRACE)["rows"]
+    assert [r["span_id"] for r in rows] == ["s1", "s2", "s3", "s4", "s5"]
+    assert rows[0]["attributes"] == {"batch": "1"}
+
+
 def test_latency_summary(log):
     rows = {r.name: tuple(r)[1:] for r in S.latency_summary(log).collect()}
     assert rows == {
@@ -195,8 +206,8 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in log.randomSplit([0.5, 0.5], seed=1):
         append_spans(part, path)
     live = stream.windowed_latency(stream.watch_spans(spark, path, 1), probabilities=(0.5, 0.99))
-    query = stream.replace_table(live, str(tmp_path / "latency"), str(tmp_path / "c1"), drain=True)
-    query.awaitTermination()
+    job = stream.replace_table(live, str(tmp_path / "latency"), str(tmp_path / "c1"), drain=True)
+    job.awaitTermination()
     batch = stream.windowed_latency(read_spans(spark, path), probabilities=(0.5, 0.99))
     assert batch.columns[-2:] == ["p50_ms", "p99_ms"]
     rows = spark.read.parquet(str(tmp_path / "latency"))

@@ -14,6 +14,11 @@ LISTING_LIMIT = 10
 DESCRIBING = ("show", "describe", "desc", "explain")
 UNSAFE_FUNCTIONS = ("reflect", "java_method", "try_reflect")
 
+# What span reports say instead of an empty list.
+NO_SPANS = "NO_TRACES_FOUND"
+NO_SUCH_TRACE = "NOT_FOUND"
+NO_FAILURES = "ALL_HEALTHY"
+
 _LEADING_WORD = re.compile(r"\s*(\w+)")
 _UNSAFE_CALL = re.compile(rf"\b({'|'.join(UNSAFE_FUNCTIONS)})\b\W*\(", re.IGNORECASE)
 
@@ -50,6 +55,12 @@ def to_records(df: DataFrame, limit: int = RESULT_LIMIT) -> list[dict]:
     return [row.asDict(recursive=True) for row in df.limit(limit).collect()]
 
 
+def to_report(df: DataFrame, empty_status: str, limit: int = RESULT_LIMIT) -> dict:
+    """``{"rows": [...]}``, or ``{"status": empty_status}`` where there are none."""
+    rows = to_records(df, limit)
+    return {"rows": rows} if rows else {"status": empty_status}
+
+
 def first_rows(df: DataFrame, limit: int = LISTING_LIMIT) -> DataFrame:
     """The few rows an explorer shows on opening a table."""
     return df.limit(limit)
