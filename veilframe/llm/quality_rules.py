@@ -146,7 +146,10 @@ def apply_policy(
     """The rows of ``docs`` the policy keeps, in all their columns. The ledger is computed on
     the rows themselves, so no join is needed and repeated ids make no difference."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    kept = ledger(packed, id_col="row", text_col="text").where(verdict(policy))
+    # Exploding nothing drops a row. A filter would be pushed below the ledger, and all its
+    # columns be written out again inside the condition.
+    found = ledger(packed, id_col="row", text_col="text").withColumn("keeps", verdict(policy))
+    kept = found.select(F.explode(F.when(F.col("keeps"), F.array("row"))).alias("row"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.components import LINK, connected_components, find_roots
 from veilframe.llm.storage import Workspace
-from veilframe.llm.text import IS_WHITE, LOWER, chunks, only, word_spans
+from veilframe.llm.text import LOWER, chunks, joined_words, only, word_spans
 
 SEED = 42
 BYTES = 8
@@ -40,13 +40,8 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[n
     starts, ends, first = word_spans(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    # Only words and one space behind each, so that a shingle is a slice.
-    white = IS_WHITE[data]
-    keep = ~white
-    keep[ends[ends < len(data)]] = True
-    at = np.cumsum(keep) - 1
-    joined = np.where(white, 0x20, data)[keep].astype(np.uint8).tobytes()
-    left, right = at[starts], at[ends - 1] + 1
+    compact, left, right = joined_words(data, starts, ends)
+    joined = compact.tobytes()
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     number = np.arange(len(starts))
     last = first[row + 1] - 1
@@ -281,11 +276,10 @@ def keep_first(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str =
     work = Workspace(docs.sparkSession, "simhash-keep")
     found = work.store(near_duplicates(docs, words, max_bits, id_col, text_col))
     own = docs[f"`{id_col}`"]
-    others = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"))
-    kept = docs.join(others.distinct(), own == F.col("_id"), "left_anti")
-    repeated = found.groupBy(id_col).count().where(F.col("count") > 1).select(F.col(id_col).alias("_id"))
-    repeated = repeated.where("_id IS NOT NULL")
+    others = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("other")).distinct()
+    kept = docs.join(others, own == others["other"], "left_anti")
+    repeated = found.groupBy(F.col(id_col).alias("again")).count().where("count > 1 AND again IS NOT NULL")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, own == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, own == F.col("_id"), "left_anti").unionAll(once)
+    once = kept.join(repeated, own == repeated["again"], "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, own == repeated["again"], "left_anti").unionAll(once)

@@ -75,3 +75,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     stops[:-1] &= white[1:] | edge[1:-1]
     starts = np.flatnonzero(begins)
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
+
+
+def joined_words(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, left, right): the words of ``word_spans`` and at most one space behind each,
+    so that consecutive words joined by spaces are one slice."""
+    white = IS_WHITE[data]
+    keep = ~white
+    keep[ends[ends < len(data)]] = True
+    at = np.cumsum(keep) - 1
+    return np.where(white, 0x20, data)[keep].astype(np.uint8), at[starts], at[ends - 1] + 1
