@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import packing, quality_rules, simhash
+from veilframe.llm import decontamination, line_dedup, packing, quality_rules, simhash
 from veilframe.llm.storage import Workspace
 
 
@@ -13,11 +13,21 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.apply_policy(docs)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that an earlier place has as well or nearly so."""
+    return line_dedup.drop_lines(docs).drop("_n_lines", "_n_removed")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return simhash.keep_first(docs)
 
 
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences, with their token ids."""
     return packing.pack(docs)
@@ -25,7 +35,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", apply_quality_rules),
+    ("line dedup", drop_repeated_lines),
     ("simhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_passages),
     ("packing", pack_sequences),
 ]
 
