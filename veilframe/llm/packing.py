@@ -23,6 +23,7 @@ from veilframe.llm.tokenizing import PieceEncoder
 
 SEQUENCE_TOKENS = 2048
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 END_TOKEN = 1
 # Cost of attention over n tokens, beside n for all else: n * n / ATTENTION_SCALE.
 ATTENTION_SCALE = 2048
@@ -97,6 +98,7 @@ def pack(
     docs: DataFrame,
     size: int = SEQUENCE_TOKENS,
     tokenizer: str = TOKENIZER,
+    ranks: str | None = RANKS,
     end_token: int = END_TOKEN,
     group_tokens: int = GROUP_TOKENS,
     id_col: str = "doc_id",
@@ -114,7 +116,7 @@ def pack(
     kind = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = PieceEncoder(tokenizer, ranks)
         sequence = TaskContext.get().partitionId() << 33
         docs_held, tokens, held = [], [], 0
 
