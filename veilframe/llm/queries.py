@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontamination, line_dedup, packing, quality_rules, simhash
+from veilframe.llm import (
+    decontamination,
+    language_model,
+    line_dedup,
+    packing,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +49,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_documents(spark, sf_dir), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir), with_text=False)
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -60,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_ablation": rule_ablation,
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op8_language_model": op8_language_model,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
     }
