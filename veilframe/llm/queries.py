@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from veilframe.llm import (
     decontamination,
     language_model,
+    license_scan,
     line_dedup,
     packing,
+    quality_classifier,
     quality_rules,
     simhash,
     suffix_dedup,
+    token_counts,
 )
 
 
@@ -41,6 +44,14 @@ def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(_documents(spark, sf_dir)))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_documents(spark, sf_dir), _read(spark, sf_dir, "labels"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), with_ids=False)
 
@@ -53,6 +64,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_documents(spark, sf_dir), with_text=False)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_documents(spark, sf_dir))
 
@@ -74,9 +89,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "rule_ablation": rule_ablation,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_token_counts": op3_token_counts,
         "op4_packing": op4_packing,
         "op5_decontamination": op5_decontamination,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_license_scan": op7_license_scan,
         "op8_language_model": op8_language_model,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
