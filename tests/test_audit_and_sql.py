@@ -102,7 +102,7 @@ def test_collisions_and_missing_ids(spark, salt):
     ],
 )
 def test_writes_are_refused(spark, views, text):
-    assert "error" in query.run_sql(spark, text)
+    assert "error" in query.run_sql(spark, text, 200)
 
 
 @pytest.mark.parametrize(
@@ -118,25 +118,45 @@ def test_writes_are_refused(spark, views, text):
     ],
 )
 def test_reads_are_answered(spark, views, text):
-    assert query.run_sql(spark, text)["rows"]
+    assert query.run_sql(spark, text, 200)["rows"]
 
 
 def test_updated_at_is_a_column(spark):
     spark.sql("SELECT 1 AS updated_at").createOrReplaceTempView("t_updated")
-    assert query.run_sql(spark, "select updated_at from t_updated") == {"rows": [{"updated_at": 1}]}
+    assert query.run_sql(spark, "select updated_at from t_updated", 5) == {
+        "rows": [{"updated_at": 1}],
+        "truncated": False,
+    }
 
 
-def test_results_are_capped_in_the_plan(spark):
+def test_results_are_whole_and_records_say_what_is_left(spark):
     spark.range(1000).createOrReplaceTempView("many")
-    assert len(query.run_sql(spark, "SELECT * FROM many ORDER BY id")["rows"]) == 200
-    plan = query.read_only_sql(spark, "SELECT * FROM many ORDER BY id DESC", 5)
-    assert [r.id for r in plan.collect()] == [999, 998, 997, 996, 995]
-    assert "TakeOrderedAndProject" in plan._jdf.queryExecution().toString()
-    assert query.first_rows(spark.table("many")).count() == 10
+    assert query.read_only_sql(spark, "SELECT * FROM many").count() == 1000
+    found = query.run_sql(spark, "SELECT * FROM many ORDER BY id DESC", 5)
+    assert [r["id"] for r in found["rows"]] == [999, 998, 997, 996, 995] and found["truncated"]
+    assert not query.run_sql(spark, "SELECT * FROM many", 1000)["truncated"]
+    assert len(query.to_report(spark.table("many"), query.NO_FAILURES, 2000)["rows"]) == 1000
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT reflect/*x*/('java.util.UUID', 'randomUUID')",
+        "SELECT * FROM (SELECT 1 WHERE (SELECT try_reflect('java.util.UUID', 'randomUUID')) IS NOT NULL)",
+        "SELECT * FROM parquet.`/tmp`",
+        "EXPLAIN EXTENDED SELECT 1",
+    ],
+)
+def test_ways_around_the_guard(spark, text):
+    assert "error" in query.run_sql(spark, text, 5)
+
+
+def test_literals_are_no_calls(spark):
+    assert query.run_sql(spark, "SELECT 'to reflect (again)' AS s", 5)["rows"] == [{"s": "to reflect (again)"}]
 
 
 def test_engine_errors_are_returned(spark):
-    assert "error" in query.run_sql(spark, "SELECT * FROM no_such_table")
+    assert "error" in query.run_sql(spark, "SELECT * FROM no_such_table", 5)
 
 
 def test_table_schemas(spark, views):

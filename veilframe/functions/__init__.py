@@ -1,6 +1,6 @@
 """Column builders: each takes and returns ``Column`` and stays inside codegen."""
 
-from veilframe.functions.dates import age_bucket, parse_date, shift_date
+from veilframe.functions.dates import age_bucket, parse_date, shift_date, unreadable_date
 from veilframe.functions.identifiers import (
     as_identifier,
     date_offset,
@@ -44,4 +44,5 @@ __all__ = [
     "suppress_small_zip",
     "to_cost",
     "to_label",
+    "unreadable_date",
 ]

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 # Fixed value: an ISO date with an optional time of day and zone.
 ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?)?\s*$"
 
-# Slashed dates read after ISO, month first and day first only where the
+# Other dates read after ISO, month first and day first only where the
 # month cannot be one, as date parsers commonly do.
-SLASHED_DATES = ("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]")
+SLASHED_DATES = (
+    "M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "M/d/yyyy h:mm[:ss] a", "M/d/yy",
+    "yyyyMMdd", "yyyy.M.d", "yyyy-MM", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+)
 
 # Age groups.
 TOP_AGE = 90
@@ -32,6 +35,12 @@ def parse_date(value: Column, formats: Sequence[str] = SLASHED_DATES) -> Column:
     return F.coalesce(iso, *others) if others else iso
 
 
+def unreadable_date(value: Column, formats: Sequence[str] = SLASHED_DATES) -> Column:
+    """True where a date is given but cannot be read."""
+    given = F.trim(F.coalesce(value.cast("string"), F.lit(""))) != ""
+    return given & parse_date(value, formats).isNull()
+
+
 def shift_date(value: Column, days: Column, formats: Sequence[str] = SLASHED_DATES) -> Column:
     """``value`` moved by ``days`` as ``yyyy-MM-dd`` text, null where unreadable."""
     return F.date_add(parse_date(value, formats), days).cast("string")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PREVIEW_CHARS = 500
 DEFAULT_VISIT_REASON = "routine evaluation"
 
 
@@ -19,7 +18,11 @@ def to_cost(value: Column, bad_cost: str = "raise") -> Column:
     ``bad_cost="null"`` turns unreadable text into null instead of failing."""
     if bad_cost not in ("raise", "null"):
         raise ValueError("bad_cost must be 'raise' or 'null'")
-    cost = value.cast("double") if bad_cost == "raise" else value.try_cast("double")
+    cost = value.try_cast("double")
+    if bad_cost == "raise":
+        # The message names no value, and raising does not depend on session settings.
+        unreadable = value.isNotNull() & cost.isNull()
+        cost = F.when(unreadable, F.raise_error(F.lit("a cost is not a number")).cast("double")).otherwise(cost)
     return F.nanvl(cost, F.lit(None).cast("double"))
 
 
@@ -29,6 +32,6 @@ def note_or_default(note: Column, visit_reason: Column) -> Column:
     return F.coalesce(F.nullif(note.cast("string"), F.lit("")), default)
 
 
-def preview(value: Column, chars: int = PREVIEW_CHARS) -> Column:
+def preview(value: Column, chars: int) -> Column:
     """Leading characters of a long result, for display only."""
     return F.substring(value.cast("string"), 1, chars)

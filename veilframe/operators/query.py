@@ -7,12 +7,9 @@ import re
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-RESULT_LIMIT = 200
-LISTING_LIMIT = 10
-
-# Statements that only describe, and functions that run arbitrary JVM code.
-DESCRIBING = ("show", "describe", "desc", "explain")
-UNSAFE_FUNCTIONS = ("reflect", "java_method", "try_reflect")
+# Statements that only describe, and expressions that run arbitrary JVM code.
+DESCRIBING = ("show", "describe", "desc")
+UNSAFE_EXPRESSIONS = ("CallMethodViaReflection", "TryReflect")
 
 # What span reports say instead of an empty list.
 NO_SPANS = "NO_TRACES_FOUND"
@@ -20,50 +17,82 @@ NO_SUCH_TRACE = "NOT_FOUND"
 NO_FAILURES = "ALL_HEALTHY"
 
 _LEADING_WORD = re.compile(r"\s*(\w+)")
-_UNSAFE_CALL = re.compile(rf"\b({'|'.join(UNSAFE_FUNCTIONS)})\b\W*\(", re.IGNORECASE)
+_SQL_ON_FILES = "spark.sql.runSQLOnFiles"
 
 
 class NotReadOnly(ValueError):
     """The statement could do more than read."""
 
 
-def read_only_sql(spark: SparkSession, text: str, limit: int = RESULT_LIMIT) -> DataFrame:
-    """Rows of a single query, at most ``limit`` of them.
+def read_only_sql(spark: SparkSession, text: str) -> DataFrame:
+    """All rows of a single query, lazily.
 
     Spark's own grammar decides what a query is: the text is placed inside a subquery,
-    where any statement that writes, and any second statement, is a syntax error.
+    where any statement that writes, and any second statement, is a syntax error. Only
+    tables and views can be named, not files by path, and the analysed plan is searched
+    for expressions that call into the JVM, so neither comments nor literals matter.
+    EXPLAIN is refused, since plans of views over raw tables hold their salt.
     """
     text = text.strip().rstrip(";")
-    if _UNSAFE_CALL.search(text):
-        raise NotReadOnly("functions that call into the JVM are not allowed")
     word = _LEADING_WORD.match(text)
     if word and word.group(1).lower() in DESCRIBING:
-        return spark.sql(text).limit(limit)
-    return spark.sql(f"SELECT * FROM (\n{text}\n)").limit(limit)
+        return spark.sql(text)
+    before = spark.conf.get(_SQL_ON_FILES, "true")
+    spark.conf.set(_SQL_ON_FILES, "false")
+    try:
+        result = spark.sql(f"SELECT * FROM (\n{text}\n)")
+    finally:
+        spark.conf.set(_SQL_ON_FILES, before)
+    if _calls_into_jvm(result._jdf.queryExecution().analyzed()):
+        raise NotReadOnly("functions that call into the JVM are not allowed")
+    return result
+
+
+def _items(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.size())]
 
 
-def run_sql(spark: SparkSession, text: str, limit: int = RESULT_LIMIT) -> dict:
-    """``{"rows": [...]}``, or ``{"error": message}`` for refused and failing statements."""
+def _calls_into_jvm(node) -> bool:
+    """Whether a plan or expression, or anything below it, calls a method by reflection."""
+    waiting = [node]
+    while waiting:
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        if name in UNSAFE_EXPRESSIONS:
+            return True
+        waiting += _items(node.children())
+        # What a node holds besides its children: expressions, plans of subqueries and views.
+        waiting += _items(node.innerChildren())
+        if hasattr_jvm(node, "expressions"):
+            waiting += _items(node.expressions())
+        if "Subquery" in name and hasattr_jvm(node, "plan"):
+            waiting.append(node.plan())
+    return False
+
+
+def hasattr_jvm(node, method: str) -> bool:
+    return any(m.getName() == method and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+
+
+def run_sql(spark: SparkSession, text: str, limit: int) -> dict:
+    """``{"rows": [...], "truncated": bool}`` of at most ``limit`` rows, or
+    ``{"error": message}`` for refused and failing statements."""
     try:
-        return {"rows": to_records(read_only_sql(spark, text, limit), limit)}
+        return bounded_records(read_only_sql(spark, text), limit)
     except (NotReadOnly, PySparkException) as error:
         return {"error": str(error)}
 
 
-def to_records(df: DataFrame, limit: int = RESULT_LIMIT) -> list[dict]:
-    """The first ``limit`` rows as dictionaries; the bound is part of the plan."""
-    return [row.asDict(recursive=True) for row in df.limit(limit).collect()]
-
-
-def to_report(df: DataFrame, empty_status: str, limit: int = RESULT_LIMIT) -> dict:
-    """``{"rows": [...]}``, or ``{"status": empty_status}`` where there are none."""
-    rows = to_records(df, limit)
-    return {"rows": rows} if rows else {"status": empty_status}
+def bounded_records(df: DataFrame, limit: int) -> dict:
+    """At most ``limit`` rows as dictionaries, and whether there are more of them."""
+    rows = [row.asDict(recursive=True) for row in df.limit(limit + 1).collect()]
+    return {"rows": rows[:limit], "truncated": len(rows) > limit}
 
 
-def first_rows(df: DataFrame, limit: int = LISTING_LIMIT) -> DataFrame:
-    """The few rows an explorer shows on opening a table."""
-    return df.limit(limit)
+def to_report(df: DataFrame, empty_status: str, limit: int) -> dict:
+    """``bounded_records``, or ``{"status": empty_status}`` where there are none."""
+    found = bounded_records(df, limit)
+    return found if found["rows"] else {"status": empty_status}
 
 
 def table_schemas(spark: SparkSession) -> DataFrame:

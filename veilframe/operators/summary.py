@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import as_identifier, date_offset, patient_key, to_cost
 from veilframe.functions.dates import SLASHED_DATES
+from veilframe.functions.identifiers import PATIENT_KEY_HEX
 from veilframe.operators.joins import KEY
 from veilframe.operators.transforms import _Input, deidentify_patients
 from veilframe.sources.schemas import ENCOUNTER_COLUMNS
@@ -65,6 +66,7 @@ def clinical_summary_of_raw(
     null_token: str | None = None,
     date_formats: Sequence[str] = SLASHED_DATES,
     bad_cost: str = "raise",
+    key_hex_len: int = PATIENT_KEY_HEX,
 ) -> DataFrame:
     """``clinical_summary`` of the de-identified tables, straight from the raw ones.
 
@@ -92,7 +94,7 @@ def clinical_summary_of_raw(
     offset = date_offset(F.col("raw_id"), salt)
     totals = (
         by_id.select(
-            patient_key(F.col("raw_id"), salt).alias(KEY),
+            patient_key(F.col("raw_id"), salt, key_hex_len).alias(KEY),
             "encounters",
             "cost",
             F.date_add("first_date", offset).alias("first_date"),
@@ -106,7 +108,9 @@ def clinical_summary_of_raw(
             F.max("last_date").cast("string").alias("last_encounter_time"),
         )
     )
-    patients = deidentify_patients(raw_patients, salt, reference_date, null_token, date_formats)
+    patients = deidentify_patients(
+        raw_patients, salt, reference_date, null_token, date_formats, key_hex_len=key_hex_len
+    )
     return _attach(patients, totals)
 
 

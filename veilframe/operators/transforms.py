@@ -207,17 +207,17 @@ def suppress_small_zips(
 ) -> DataFrame:
     """Keep a ZIP prefix only where more than ``min_population`` people live.
 
-    ``zip_population`` has (zip, population), by whole ZIP or by prefix. Only prefixes
-    of three digits are kept, so at most 1,000 rows are broadcast whatever its size.
+    ``zip_population`` has (zip, population), by whole ZIP or by prefix; an area outside it
+    has no population. Whether its few rows are broadcast is left to Spark's size check.
     """
     zip3 = F.substring(F.col("zip").cast("string"), 1, ZIP_PREFIX_LEN)
     areas = (
         zip_population.select(zip3.alias("_zip3"), "population")
-        .where(F.col("_zip3").rlike(r"^[0-9]{3}$"))
+        .where(F.length("_zip3") == ZIP_PREFIX_LEN)
         .groupBy("_zip3")
         .agg(F.sum("population").alias("_population"))
         .select(F.concat("_zip3", F.lit(ZIP_MASK)).alias("_area"), "_population")
     )
-    joined = patients.join(F.broadcast(areas), F.col("coarsened_zip") == F.col("_area"), "left")
+    joined = patients.join(areas, F.col("coarsened_zip") == F.col("_area"), "left")
     safe = suppress_small_zip(F.col("coarsened_zip"), F.col("_population"), min_population)
     return joined.withColumn("coarsened_zip", safe).select(*patients.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,7 +122,21 @@ def default_notes(spark: SparkSession, d: str) -> DataFrame:
 
 def result_preview(spark: SparkSession, d: str) -> DataFrame:
     documents = roles.table(spark, d, "documents")
-    return documents.select("doc_id", V.preview(F.col("text")).alias("preview"))
+    return documents.select("doc_id", V.preview(F.col("text"), 500).alias("preview"))
+
+
+def unreadable_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates written in many ways, every ninth in none, read back and counted."""
+    key, date = F.col("o_orderkey"), F.to_date("o_orderdate")
+    written = F.lit("some day")
+    patterns = ("yyyyMMdd", "MMM d, yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy.M.d", "yyyy/M/d", "yyyy-MM-dd", "M/d/yyyy h:mm a")
+    for i, pattern in enumerate(patterns):
+        written = F.when(key % 9 == i, F.date_format(date.cast("timestamp"), pattern)).otherwise(written)
+    orders = roles.table(spark, d, "orders").select("o_orderkey", written.alias("written"))
+    text = F.col("written")
+    return orders.select(
+        "o_orderkey", V.shift_date(text, F.lit(0)).alias("date"), V.unreadable_date(text).alias("unreadable")
+    )
 
 
 # Table transforms ------------------------------------------------------------------
@@ -152,6 +167,15 @@ def zip_population(spark: SparkSession, d: str) -> DataFrame:
     return safe.select("patient_deid_key", "coarsened_zip")
 
 
+def zip_population_alphanumeric(spark: SparkSession, d: str) -> DataFrame:
+    """Areas that are not numbers count as any others."""
+    area = F.concat(F.lit("M"), (F.col("c_custkey") % 7).cast("string"), F.lit("V"))
+    patients = roles.table(spark, d, "customer").select("c_custkey", F.concat(area, F.lit("XX")).alias("coarsened_zip"))
+    people = roles.table(spark, d, "customer").select(area.alias("zip"), (F.col("c_custkey") % 7 * 10_000).alias("n"))
+    population = people.groupBy("zip").agg(F.max("n").alias("population"))
+    return transforms.suppress_small_zips(patients, population)
+
+
 # Joins -----------------------------------------------------------------------------
 
 
@@ -256,9 +280,46 @@ def read_only_sql(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def sql_all_rows(spark: SparkSession, d: str) -> DataFrame:
+    """SQL results are whole, however many rows they have."""
+    roles.table(spark, d, "orders").createOrReplaceTempView("all_orders")
+    return query.read_only_sql(spark, "SELECT o_orderkey, o_custkey, o_totalprice FROM all_orders")
+
+
+def sql_records(spark: SparkSession, d: str) -> DataFrame:
+    """Bounded records, and whether more are left."""
+    roles.table(spark, d, "orders").createOrReplaceTempView("all_orders")
+    text = "SELECT o_orderstatus, COUNT(*) AS n FROM all_orders GROUP BY o_orderstatus ORDER BY o_orderstatus"
+    found = query.run_sql(spark, text, 2)
+    rows = [(r["o_orderstatus"], r["n"], found["truncated"]) for r in found["rows"]]
+    return spark.createDataFrame(rows, "o_orderstatus string, n bigint, truncated boolean")
+
+
+def table_schemas(spark: SparkSession, d: str) -> DataFrame:
+    for name in ("orders", "customer"):
+        roles.table(spark, d, name).createOrReplaceTempView(f"schema_of_{name}")
+    return query.table_schemas(spark).where(F.col("table").startswith("schema_of_")).select("table", "column_name")
+
+
 # Spans -----------------------------------------------------------------------------
 
 
+def failed_span_report_size(spark: SparkSession, d: str) -> DataFrame:
+    return spans.failed_spans(roles.spans(spark, d)).agg(F.count(F.lit(1)).alias("failed"))
+
+
+def corrupt_spans(spark: SparkSession, d: str) -> DataFrame:
+    """A log in which every seventh line is cut off: what is readable, and what is not."""
+    path = _scratch(spark, "corrupt")
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("span_id"), F.col("event_type").alias("name")))
+    cut = F.when(F.col("event_id") % 7 == 0, F.expr("substring(line, 1, length(line) - 2)")).otherwise(F.col("line"))
+    events = roles.table(spark, d, "events").select("event_id", line.alias("line"))
+    events.select(cut.alias("value")).write.text(path)
+    good = span_log.read_spans(spark, path).select(F.lit("readable").alias("kind"))
+    bad = span_log.corrupt_spans(spark, path).select(F.lit("corrupt").alias("kind"))
+    return good.unionAll(bad).groupBy("kind").agg(F.count(F.lit(1)).alias("spans"))
+
+
 def recent_spans(spark: SparkSession, d: str) -> DataFrame:
     return _naive(spans.recent_spans(roles.spans(spark, d), 25))
 
@@ -297,7 +358,19 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latency_percentiles_approx(spark: SparkSession, d: str) -> DataFrame:
-    return spans.latency_percentiles_approx(roles.spans(spark, d))
+    """Whether each sketched percentile's exact rank is within the sketch's bound."""
+    timed = spans.timed_spans(roles.spans(spark, d))
+    wanted = F.array(*[F.lit(float(p)) for p in spans.PERCENTILES])
+    sketched = timed.groupBy("name").agg(spans.duration_sketch(spans.PERCENTILES).alias("values"))
+    each = sketched.select("name", F.explode(F.arrays_zip(wanted.alias("p"), "values")).alias("z"))
+    each = each.select("name", F.col("z.p").alias("p"), F.col("z.values").alias("sketched"))
+    ranks = timed.join(each, "name").groupBy("name", "p").agg(
+        F.avg((F.col("duration_ms") < F.col("sketched")).cast("int")).alias("below"),
+        F.avg((F.col("duration_ms") <= F.col("sketched")).cast("int")).alias("up_to"),
+    )
+    bound = 1 / spans.APPROX_ACCURACY
+    within = (F.col("below") <= F.col("p") + bound) & (F.col("up_to") >= F.col("p") - bound)
+    return ranks.select("name", "p", within.alias("within_bound"))
 
 
 def _naive(df: DataFrame) -> DataFrame:
@@ -351,12 +424,9 @@ def csv_encounters(spark: SparkSession, d: str) -> DataFrame:
 def csv_to_store(spark: SparkSession, d: str) -> DataFrame:
     """The whole job from CSV files to the stored summary."""
     root = _scratch(spark, "job")
-    for name, df in (("patients", roles.patients(spark, d)), ("encounters", roles.encounters(spark, d))):
-        df.write.option("header", True).option("escape", '"').csv(f"{root}/{name}")
     run_pipeline(
         spark,
-        f"{root}/patients",
-        f"{root}/encounters",
+        *_csv_inputs(spark, d, root),
         f"{root}/store",
         SALT,
         span_log=f"{root}/spans",
@@ -366,6 +436,61 @@ def csv_to_store(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stored, "total_clinical_cost")
 
 
+def _csv_inputs(spark: SparkSession, d: str, root: str) -> tuple[str, str]:
+    for name, df in (("patients", roles.patients(spark, d)), ("encounters", roles.encounters(spark, d))):
+        df.write.option("header", True).option("escape", '"').csv(f"{root}/{name}")
+    return f"{root}/patients", f"{root}/encounters"
+
+
+def csv_bad_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A file in which every fifth row has a cell too many: how many are found."""
+    path = _scratch(spark, "bad-rows")
+    key = F.col("o_orderkey").cast("string")
+    row = F.concat_ws(",", key, F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 5 == 0, "extra"))
+    rows = roles.table(spark, d, "orders").select(row.alias("value"))
+    header = spark.createDataFrame([("Id,STATUS",)], "value string")
+    header.coalesce(1).unionAll(rows).coalesce(1).write.text(path)
+    return tabular.count_bad_rows(spark, path)
+
+
+def input_check(spark: SparkSession, d: str) -> DataFrame:
+    check = tabular.validate_inputs(spark, *_csv_inputs(spark, d, _scratch(spark, "check")))
+    rows = [("patients", c) for c in check.missing_patients] + [("encounters", c) for c in check.missing_encounters]
+    return spark.createDataFrame(rows, "input string, missing string")
+
+
+def pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What a run of the job reports, and the status its log has of each stage."""
+    root = _scratch(spark, "counts")
+    done = run_pipeline(
+        spark, *_csv_inputs(spark, d, root), f"{root}/store", SALT, f"{root}/spans", REFERENCE_DATE, key_hex_len=16
+    )
+    names = ("processed_patients", "unique_patients", "unique_pseudonyms", "processed_encounters", "merged_rows",
+             "matched_rows", "matched_patients")
+    stages = span_log.read_spans(spark, f"{root}/spans").select("name", "status")
+    counts = F.create_map(*[F.lit(x) for n in names for x in (n, int(getattr(done, n)))])
+    return stages.select(F.concat_ws(":", "name", "status").alias("item"), F.lit(1).cast("bigint").alias("n")).unionAll(
+        spark.range(1).select(F.explode(counts).alias("item", "n")).select("item", F.col("n").cast("bigint"))
+    )
+
+
+def failure_span(spark: SparkSession, d: str) -> DataFrame:
+    """A job that meets a cost cell with personal data: its error spans, free of that."""
+    root = _scratch(spark, "failure")
+    cost = F.when(F.col("COST") > 0, "Jane Doe 123-45-6789")
+    roles.patients(spark, d).write.option("header", True).csv(f"{root}/patients")
+    roles.encounters(spark, d).withColumn("COST", cost).write.option("header", True).option("escape", '"').csv(
+        f"{root}/encounters"
+    )
+    try:
+        run_pipeline(spark, f"{root}/patients", f"{root}/encounters", f"{root}/store", SALT, f"{root}/spans")
+    except PySparkException:
+        pass
+    logged = span_log.read_spans(spark, f"{root}/spans").where("status = 'ERROR'")
+    everything = F.to_json(F.struct(*[F.col(c) for c in logged.columns]))
+    return logged.select("name", "status_description", everything.contains("Jane").alias("quotes_data"))
+
+
 def span_log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Raw measurements finished as spans, appended to a log and read back."""
     path = _scratch(spark, "spans")
@@ -454,6 +579,17 @@ def queries() -> dict[str, Query]:
         pseudonym_collisions,
         missing_patient_ids,
         read_only_sql,
+        sql_all_rows,
+        sql_records,
+        table_schemas,
+        failed_span_report_size,
+        corrupt_spans,
+        unreadable_dates,
+        zip_population_alphanumeric,
+        csv_bad_rows,
+        input_check,
+        pipeline_counts,
+        failure_span,
         recent_spans,
         trace_details,
         failed_spans,

@@ -59,7 +59,7 @@ RAW_PATIENTS = """raw_patients AS (
         CASE WHEN c_custkey % 11 = 0 THEN DATE '2021-01-01' + CAST(c_custkey % 1000 AS INTEGER) END AS death,
         CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
         CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment ELSE 'UNKNOWN' END AS race,
-        n_name AS city, r_name AS state, lpad(c_custkey::VARCHAR, 5, '0') AS zip
+        n_name AS city, r_name AS state, lpad(c_custkey::VARCHAR, greatest(5, length(c_custkey::VARCHAR)), '0') AS zip
     FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
     LEFT JOIN region ON n_regionkey = r_regionkey)"""
 RAW_ENCOUNTERS = """raw_encounters AS (
@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
                 THEN 'KNOWN-' || patient ELSE {key("patient")} END AS patient_deid_key,
             {iso(f"start + {offset('patient')}")} AS start_time FROM raw_encounters""",
         "zip_population": f"""WITH {PATIENTS}, areas AS (
-                SELECT substr(lpad(c_custkey::VARCHAR, 5, '0'), 1, 3) || 'XX' AS area,
+                SELECT substr(lpad(c_custkey::VARCHAR, greatest(5, length(c_custkey::VARCHAR)), '0'), 1, 3) || 'XX' AS area,
                     sum(c_nationkey) * 16 AS people FROM customer GROUP BY 1)
             SELECT patient_deid_key,
                 CASE WHEN people > 20000 THEN coarsened_zip ELSE '000XX' END AS coarsened_zip
@@ -250,6 +250,33 @@ def oracle_sql() -> dict[str, str]:
             SELECT age_bucket, state, COUNT(*) AS visits, ROUND(SUM(cost), 2) AS cost
             FROM deid_patients p JOIN deid_encounters e ON p.patient_deid_key = e.patient_deid_key
             GROUP BY age_bucket, state""",
+        "sql_all_rows": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
+        "sql_records": """SELECT o_orderstatus, COUNT(*) AS n, true AS truncated FROM orders
+            GROUP BY o_orderstatus ORDER BY o_orderstatus LIMIT 2""",
+        "table_schemas": """SELECT 'schema_of_' || table_name AS "table", column_name FROM information_schema.columns
+            WHERE table_name IN ('orders', 'customer')""",
+        "failed_span_report_size": f"SELECT COUNT(*) AS failed FROM ({FAILED})",
+        "corrupt_spans": """SELECT CASE WHEN event_id % 7 = 0 THEN 'corrupt' ELSE 'readable' END AS kind,
+            COUNT(*) AS spans FROM events GROUP BY 1""",
+        "unreadable_dates": """SELECT o_orderkey, o_orderkey % 9 = 8 AS unreadable,
+            CASE WHEN o_orderkey % 9 <> 8 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS date FROM orders""",
+        "zip_population_alphanumeric": """SELECT c_custkey, CASE WHEN c_custkey % 7 * 10000 > 20000
+            THEN 'M' || c_custkey % 7 || 'VXX' ELSE '000XX' END AS coarsened_zip FROM customer""",
+        "csv_bad_rows": "SELECT COUNT(*) AS bad_rows FROM orders WHERE o_orderkey % 5 = 0",
+        "input_check": """SELECT unnest(['patients', 'encounters']) AS input,
+            unnest(['ETHNICITY', 'ORGANIZATION']) AS missing""",
+        "pipeline_counts": """SELECT unnest(['validate_inputs:OK', 'deidentify_patients:OK', 'deidentify_encounters:OK',
+                'merge:OK', 'export:OK']) AS item, 1 AS n
+            UNION ALL SELECT unnest(['processed_patients', 'unique_patients', 'unique_pseudonyms']),
+                (SELECT COUNT(*) FROM customer)
+            UNION ALL SELECT unnest(['processed_encounters', 'matched_rows']), (SELECT COUNT(*) FROM orders)
+            UNION ALL SELECT 'merged_rows', (SELECT COUNT(*) FROM customer LEFT JOIN orders ON c_custkey = o_custkey)
+            UNION ALL SELECT 'matched_patients', (SELECT COUNT(DISTINCT o_custkey) FROM orders)""",
+        "failure_span": """SELECT unnest(['deidentify_encounters', 'pipeline_failure']) AS name,
+            'SparkRuntimeException: USER_RAISED_EXCEPTION' AS status_description, false AS quotes_data""",
+        "latency_percentiles_approx": """SELECT name, p, true AS within_bound FROM
+            (SELECT DISTINCT event_type AS name FROM events WHERE value > 0),
+            (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS p)""",
         "recent_spans": f"""WITH {SPANS} SELECT {SPAN_SUMMARY} FROM (
             SELECT * FROM spans ORDER BY end_time DESC, span_id DESC LIMIT 25)""",
         "trace_details": f"""WITH {SPANS} SELECT * FROM spans WHERE trace_id = '{TRACE_ID}'""",

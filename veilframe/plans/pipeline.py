@@ -10,14 +10,17 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.functions.identifiers import PATIENT_KEY_HEX
 from veilframe.operators.joins import join_counts
 from veilframe.operators.summary import age_histogram, clinical_summary, reduced_summary
 from veilframe.operators.transforms import (
     deidentify_encounters,
     deidentify_patients,
+    pseudonym_map,
     suppress_small_zips,
 )
 from veilframe.sources.spans import append_spans, finish_spans
@@ -30,7 +33,7 @@ from veilframe.sources.store import (
     with_start_year,
     write_table,
 )
-from veilframe.sources.tabular import read_encounters, read_patients, validate_inputs
+from veilframe.sources.tabular import InputNotFound, read_encounters, read_patients, validate_inputs
 
 FAILURE_SPAN = "pipeline_failure"
 
@@ -42,6 +45,16 @@ def _text_map(values: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(part) for item in values.items() for part in item]).cast(_TEXT_MAP)
 
 
+def safe_message(error: Exception) -> str:
+    """What went wrong, without quoting data. Spark's messages repeat the offending cell,
+    so only the kind of error and its condition are kept; a missing input is named, as its
+    message holds nothing but the path the caller gave."""
+    if isinstance(error, InputNotFound):
+        return str(error)
+    condition = error.getCondition() if isinstance(error, PySparkException) else None
+    return f"{type(error).__name__}: {condition}" if condition else type(error).__name__
+
+
 class RunLog:
     """Appends one span for each finished stage of a run to a JSON-lines log."""
 
@@ -62,11 +75,12 @@ class RunLog:
         attributes = {k: str(v) for k, v in attributes.items()}
         events = F.array()
         if error is not None:
-            attributes["error.message"] = str(error)
+            message = safe_message(error)
+            attributes["error.message"] = message
             detail = {
                 "exception.type": type(error).__name__,
-                "exception.message": str(error),
-                "exception.stacktrace": "".join(traceback.format_exception(error)),
+                "exception.message": message,
+                "exception.stacktrace": "".join(traceback.format_tb(error.__traceback__)),
             }
             events = F.array(
                 F.struct(
@@ -83,7 +97,7 @@ class RunLog:
                 F.lit(start_ns).alias("start_ns"),
                 F.lit(end_ns).alias("end_ns"),
                 F.lit("OK" if error is None else "ERROR").alias("status_code"),
-                F.lit("" if error is None else str(error)).alias("status_description"),
+                F.lit("" if error is None else safe_message(error)).alias("status_description"),
                 _text_map(attributes).alias("attributes"),
                 events.cast(_EVENTS).alias("events"),
             )
@@ -95,6 +109,7 @@ class RunLog:
 class PipelineResult:
     run_id: str
     processed_patients: int = 0
+    unique_patients: int = 0
     unique_pseudonyms: int = 0
     age_buckets: dict[str, int] = field(default_factory=dict)
     processed_encounters: int = 0
@@ -128,13 +143,15 @@ def run_pipeline(
     zip_population: DataFrame | None = None,
     patient_options: Mapping[str, Any] | None = None,
     encounter_options: Mapping[str, Any] | None = None,
+    key_hex_len: int = PATIENT_KEY_HEX,
 ) -> PipelineResult:
     """De-identify two CSV inputs into a store of four Parquet tables.
 
     The wide tables are written first, in one map-only pass each; everything later
     reads the few columns it needs back from Parquet, so neither hashing nor redaction
     is ever repeated. ``partitioned`` lays patients and summaries out by age bucket and
-    encounters by year; ``zip_population`` hides ZIP prefixes of small areas. A failing
+    encounters by year; ``key_hex_len`` is the width of patient keys in all tables;
+    ``zip_population`` hides ZIP prefixes of small areas. A failing
     stage leaves an error span and the tables and spans of the stages before it, and the
     error is raised again.
     """
@@ -147,7 +164,7 @@ def run_pipeline(
             outcome = work()
         except Exception as error:
             failed = {"failed_stage": name, "error_type": type(error).__name__, "run_id": log.run_id}
-            log.record(name, start_ns, {"error": error}, error)
+            log.record(name, start_ns, {"error": safe_message(error)}, error)
             log.record(FAILURE_SPAN, start_ns, failed, error)
             raise
         result.stage_ms[name] = log.record(name, start_ns, outcome)
@@ -157,9 +174,8 @@ def run_pipeline(
         return vars(check)
 
     def patients() -> dict[str, Any]:
-        df = deidentify_patients(
-            read_patients(spark, patients_path), salt, reference_date, **(patient_options or {})
-        )
+        raw = read_patients(spark, patients_path)
+        df = deidentify_patients(raw, salt, reference_date, key_hex_len=key_hex_len, **(patient_options or {}))
         if zip_population is not None:
             df = suppress_small_zips(df, zip_population)
         rows = F.count(F.lit(1)).alias("rows")
@@ -169,17 +185,20 @@ def run_pipeline(
         stored = open_store(spark, output_dir, [PATIENTS])[PATIENTS]
         result.paths[PATIENTS] = path
         result.processed_patients = seen["rows"]
+        # Fewer pseudonyms than raw ids mean that keys collide: raise key_hex_len.
+        result.unique_patients = pseudonym_map(raw, salt).count()
         result.unique_pseudonyms = stored.select("patient_deid_key").distinct().count()
         result.age_buckets = {r["age_bucket"]: r["patients"] for r in age_histogram(stored).collect()}
         return {
             "processed_patients": result.processed_patients,
+            "unique_patients": result.unique_patients,
             "unique_pseudonyms": result.unique_pseudonyms,
             "age_buckets": result.age_buckets,
         }
 
     def encounters() -> dict[str, Any]:
         df = deidentify_encounters(
-            read_encounters(spark, encounters_path), salt, **(encounter_options or {})
+            read_encounters(spark, encounters_path), salt, key_hex_len=key_hex_len, **(encounter_options or {})
         )
         if partitioned:
             df = with_start_year(df)

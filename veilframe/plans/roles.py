@@ -25,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _zip(key: str) -> Column:
-    return F.lpad(F.col(key).cast("string"), 5, "0")
+    text = F.col(key).cast("string")
+    return F.when(F.length(text) < 5, F.lpad(text, 5, "0")).otherwise(text)
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from functools import cache
 
@@ -35,7 +37,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="veilframe-")
+    folder = tempfile.mkdtemp(prefix="veilframe-")
+    # It may hold raw cells, so it goes with the process that made it.
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:

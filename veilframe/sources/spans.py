@@ -5,32 +5,72 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from veilframe.sources.schemas import SPAN, SPAN_TYPED
 
 # Fixed value: ISO-8601 with microseconds and a numeric zone.
 ISO_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
-MALFORMED = "DROPMALFORMED"
+CORRUPT = "_corrupt_record"
+
+
+def parse_lines(lines: DataFrame, schema: StructType = SPAN) -> DataFrame:
+    """(raw, span) of every non-empty line; ``span`` is null where the line cannot be read.
+
+    Each line is parsed whole, whatever columns are asked for later, so that counts do not
+    depend on them. A line that gives neither id nor name is unreadable too.
+    """
+    marked = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    full = lines.where(F.trim("value") != "")
+    parsed = full.select(F.col("value").alias("raw"), F.from_json("value", marked, options).alias("read"))
+    span = F.col("read")
+    good = span[CORRUPT].isNull() & (span["span_id"].isNotNull() | span["name"].isNotNull())
+    return parsed.select("raw", F.when(good, F.struct(*[span[f.name].alias(f.name) for f in schema.fields])).alias("span"))
+
+
+def parse_arrays(files: DataFrame, schema: StructType = SPAN) -> DataFrame:
+    """The same of whole files holding one JSON array each; a file with a bad byte anywhere
+    is one unreadable record."""
+    items = F.from_json("value", ArrayType(schema), {"mode": "PERMISSIVE"})
+    return files.where(F.trim("value") != "").select(
+        F.col("value").alias("raw"), F.explode_outer(F.coalesce(items, F.array(F.lit(None).cast(schema)))).alias("span")
+    ).where("span IS NULL OR span.span_id IS NOT NULL OR span.name IS NOT NULL")
+
+
+def _parsed(spark: SparkSession, path: str, array_file: bool, schema: StructType) -> DataFrame | None:
+    try:
+        lines = spark.read.text(path, wholetext=array_file)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return parse_arrays(lines, schema) if array_file else parse_lines(lines, schema)
 
 
 def read_spans(
     spark: SparkSession, path: str, array_file: bool = False, typed_attributes: bool = False
 ) -> DataFrame:
-    """All spans of a log; a missing, empty or unreadable log has none.
+    """All readable spans of a log; a missing or empty log has none. ``corrupt_spans`` has
+    the rest.
 
     ``array_file`` reads files holding one JSON array. Spark cannot split those, so
     logs of any size should be JSON lines, the default. Attributes are a map of texts,
     or with ``typed_attributes`` a variant that keeps numbers and booleans apart.
     """
     schema = SPAN_TYPED if typed_attributes else SPAN
-    reader = spark.read.schema(schema).option("mode", MALFORMED).option("multiLine", array_file)
-    try:
-        spans = reader.json(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    parsed = _parsed(spark, path, array_file, schema)
+    if parsed is None:
         return spark.createDataFrame([], schema)
-    return spans.where(F.col("span_id").isNotNull() | F.col("name").isNotNull())
+    return parsed.where("span IS NOT NULL").select("span.*")
+
+
+def corrupt_spans(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+    """(raw): the lines, or files, of a log that cannot be read."""
+    parsed = _parsed(spark, path, array_file, SPAN)
+    if parsed is None:
+        return spark.createDataFrame([], "raw string")
+    return parsed.where("span IS NULL").select("raw")
 
 
 def finish_spans(ended: DataFrame) -> DataFrame:
@@ -49,7 +89,9 @@ def finish_spans(ended: DataFrame) -> DataFrame:
         return F.when(F.col(ns) != 0, at)
 
     def hex_id(name: str, width: int):
-        return F.lpad(F.lower(F.col(name)), width, "0").alias(name)
+        # Shorter ids are padded, longer ones never cut.
+        given = F.lower(F.col(name))
+        return F.when(F.length(given) < width, F.lpad(given, width, "0")).otherwise(given).alias(name)
 
     return ended.select(
         hex_id("trace_id", 32),

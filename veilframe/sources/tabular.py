@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from veilframe.sources.schemas import (
     ENCOUNTER_COLUMNS,
@@ -17,6 +18,9 @@ from veilframe.sources.schemas import (
 )
 
 
+BAD_ROW = "_bad_row"
+
+
 class InputNotFound(FileNotFoundError):
     """An input path does not exist."""
 
@@ -26,33 +30,60 @@ def read_text_cells(
     path: str | list[str],
     multiline: bool,
     missing_cells: Sequence[str] = MISSING_CELLS,
+    bad_rows: str = "fail",
 ) -> DataFrame:
     """CSV without type inference, so codes and ZIPs keep leading zeros and no pass over
     the data is spent on guessing. Files whose header order differs from the first
-    file's are refused rather than read into the wrong columns."""
-    raw = (
+    file's are refused rather than read into the wrong columns.
+
+    A row with more or fewer cells than the header fails the read, without quoting it;
+    ``bad_rows="drop"`` leaves such rows out and ``"mark"`` adds a column with their text,
+    null for others. Whole rows are parsed, whatever columns are used.
+    """
+    if bad_rows not in ("fail", "drop", "mark"):
+        raise ValueError("bad_rows must be 'fail', 'drop' or 'mark'")
+    reader = (
         spark.read.option("header", True)
         .option("multiLine", multiline)
         .option("escape", '"')
         .option("enforceSchema", False)
-        .csv(path)
+        .option("columnNameOfCorruptRecord", BAD_ROW)
+        .option("columnPruning", False)
     )
-    _refuse_renamed(raw.columns)
+    names = reader.csv(path).columns
+    _refuse_renamed(names)
+    schema = StructType([StructField(n, StringType()) for n in [*names, BAD_ROW]])
+    marked = reader.schema(schema).csv(path)
+    bad = F.col(BAD_ROW)
+    if bad_rows == "mark":
+        return marked
+    # Spark refuses queries that look at nothing but the marker, so a cell is looked at too.
+    message = F.lit("a row has more or fewer cells than the header")
+    fine = bad.isNull() if bad_rows == "drop" else F.when(bad.isNotNull(), F.raise_error(message)).isNull()
+    fine = fine & (F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0)
+    cells = [(F.col(f"`{n}`"), n) for n in names]
+    raw = marked.where(fine)
     if not missing_cells:
-        return raw
-    cells = [F.col(f"`{c}`") for c in raw.columns]
-    return raw.select(
-        *[F.when(~cell.isin(*missing_cells), cell).alias(name) for cell, name in zip(cells, raw.columns)]
-    )
+        return raw.select(*[cell for cell, _ in cells])
+    return raw.select(*[F.when(~cell.isin(*missing_cells), cell).alias(name) for cell, name in cells])
+
+
+def count_bad_rows(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+    """One row: ``bad_rows``, those with more or fewer cells than the header."""
+    marked = read_text_cells(spark, path, multiline, bad_rows="mark")
+    # Spark refuses queries that look at nothing but the marker, so a cell is looked at too.
+    cell = F.coalesce(F.col(f"`{marked.columns[0]}`"), F.lit(""))
+    return marked.agg(F.count(F.when(F.col(BAD_ROW).isNotNull(), cell)).alias("bad_rows"))
 
 
 def _refuse_renamed(columns: Sequence[str]) -> None:
-    """Spark numbers header names that differ only in case, which would hide them from the
-    lookup by name."""
+    """Spark numbers header names that differ only in case, all of them by their position,
+    which would hide them from the lookup by name."""
     bases: dict[str, str] = {}
-    for i, name in enumerate(columns):
-        base = name.removesuffix(str(i))
-        if base != name and bases.setdefault(base.lower(), base) != base:
+    numbered = [(name, name.removesuffix(str(i))) for i, name in enumerate(columns)]
+    plain = {name.lower() for name, base in numbered if base == name}
+    for name, base in numbered:
+        if base != name and base.lower() not in plain and bases.setdefault(base.lower(), base) != base:
             raise ValueError(
                 f"columns {bases[base.lower()]!r} and {base!r} differ only in case; "
                 "set spark.sql.caseSensitive to true to read them"
