@@ -25,8 +25,13 @@ SHINGLE = 10
 SIMILARITY = 0.8
 # At the threshold, a pair shares a band with probability 1 - (1 - 0.8^4)^13 = 0.999.
 ROWS, BANDS = 4, 13
-# Buckets up to this size are compared pair by pair; larger ones by way of their least member.
-LARGEST_BUCKET = 32
+# In buckets up to this size all lines that are still apart are compared.
+SMALL_BUCKET = 8
+# The bit map of lines whose texts are needed: two megabytes.
+SKETCH_BITS = 1 << 24
+
+# Bytes of text worked on at once; signatures take about eighty times as much memory.
+CHUNK = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -136,7 +141,7 @@ def band_keys(table: np.ndarray, rows: int) -> np.ndarray:
 def _bands(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch["text"]):
+            for chunk in chunks(batch["text"], CHUNK):
                 lines = Lines(chunk)
                 own = lines.distinct()
                 if len(own):
@@ -151,7 +156,7 @@ def _bands(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
 def _occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch["text"]):
+            for chunk in chunks(batch["text"], CHUNK):
                 lines = Lines(chunk)
                 ids = batch["id"][chunk.rows].take(pa.array(lines.row))
                 columns = [pa.array(lines.hash), ids, pa.array(lines.number.astype(np.int32))]
@@ -161,12 +166,15 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"line bigint, id {kind}, number int")
 
 
-def _line_texts(docs: DataFrame) -> DataFrame:
+def _line_texts(docs: DataFrame, sketch: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sketch, np.int64)
         for batch in batches:
-            for chunk in chunks(batch["text"]):
+            for chunk in chunks(batch["text"], CHUNK):
                 lines = Lines(chunk)
                 own = lines.distinct()
+                place = lines.hash[own] & (SKETCH_BITS - 1)
+                own = own[(bits[place >> 6] >> (place & 63)) & 1 == 1]
                 cut = [lines.whole[a:b] for a, b in zip(lines.left[own].tolist(), lines.right[own].tolist())]
                 columns = [pa.array(lines.hash[own]), pa.array(cut, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["line", "text"])
@@ -214,58 +222,72 @@ def line_links(
     similarity: float = SIMILARITY,
     rows: int = ROWS,
     bands: int = BANDS,
-    largest_bucket: int = LARGEST_BUCKET,
+    smallest: int = SMALL_BUCKET,
 ) -> DataFrame:
     """(node, root): the components of the similarity links between distinct lines, without
     the least line of each. ``docs`` has ``id`` and ``text``.
 
-    Pairs within a bucket of more than ``largest_bucket`` lines are not all made: each line is
-    compared with the least one, and lines that this leaves in another component than the
-    bucket's least are compared with every line of the bucket outside their own component.
-    That links the same components, since a link inside a component adds nothing.
+    Only components matter, so a bucket's lines are first compared with its least line alone,
+    one pair a line. Lines that this leaves in another component are compared with those
+    lines of the bucket outside their own component that share a second bucket with them,
+    unless the bucket has no more than ``smallest`` lines: then with all. Two lines at the
+    threshold share two of the bands with probability 0.99, more similar ones surely.
     """
     texts = docs.select("text")
     keyed = _bands(texts, shingle, rows, bands).repartition("band")
     several = keyed.groupBy("band").agg(F.min("line").alias("least"), F.max("line").alias("most"))
     several = several.where("least < most").select("band", "least")
     members = work.store(keyed.join(several, "band").select("band", "least", "line").distinct())
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    small = (
-        members.join(sizes.where(F.col("n") <= largest_bucket), "band")
-        .groupBy("band")
-        .agg(F.array_sort(F.collect_list("line")).alias("lines"))
-        .select("lines")
-        .distinct()
-    )
-    each = small.select("lines", F.posexplode("lines").alias("i", "a"))
-    later = F.slice("lines", F.col("i") + 2, F.size("lines"))
-    few = each.where(F.col("i") + 1 < F.size("lines")).select("a", F.explode(later).alias("b"))
-    large = members.join(sizes.where(F.col("n") > largest_bucket), "band").select("band", "least", "line")
-    stars = large.where("line != least").select(F.col("least").alias("a"), F.col("line").alias("b"))
-    pairs = work.store(few.unionAll(stars).distinct())
-    wanted = pairs.select(F.col("a").alias("line")).unionAll(pairs.select(F.col("b").alias("line"))).distinct()
-    found = work.store(_line_texts(texts).join(wanted, "line", "left_semi").dropDuplicates(["line"]))
+    stars = members.where("line != least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct()
+    pairs = work.store(stars)
+    wanted = members.select("line").distinct()
+    found = work.store(_line_texts(texts, _sketch(wanted)).join(wanted, "line", "left_semi").dropDuplicates(["line"]))
     links = work.store(_verified(pairs, found, shingle, similarity))
     roots = connected_components(links, work)
-    own = large.join(roots.select(F.col("node").alias("line"), F.col("root").alias("own")), "line", "left")
-    own = own.withColumn("own", F.coalesce("own", "line"))
+    own = members.join(roots.select(F.col("node").alias("line"), F.col("root").alias("own")), "line", "left")
     heads = roots.select(F.col("node").alias("least"), F.col("root").alias("head"))
-    placed = own.join(heads, "least", "left").withColumn("head", F.coalesce("head", "least"))
-    outside = placed.where("own != head").select("band", F.col("line").alias("b"), F.col("own").alias("own_b"))
-    outside = work.store(outside)
-    if outside.isEmpty():
+    placed = own.join(heads, "least", "left").select(
+        "band", "line", F.coalesce("own", "line").alias("own"), F.coalesce("head", "least").alias("head")
+    )
+    # Buckets with two lines or more beside those of their least line's component.
+    open_ = placed.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") != F.col("head")).alias("apart")
+    )
+    open_ = open_.where("apart > 0 AND n > 2").select("band", (F.col("n") <= smallest).alias("small"))
+    open_ = work.store(placed.join(open_, "band").select("band", "small", "line", "own"))
+    if open_.isEmpty():
         return roots
+    one = open_.where("NOT small").select(F.col("band").alias("first"), "line", "own")
+    second = open_.select(F.col("band").alias("second"), "line")
+    twice = one.join(second, "line").where("first < second").select("first", "second", "line", "own")
+    twice = twice.unionAll(
+        open_.where("small").select(F.col("band").alias("first"), F.col("band").alias("second"), "line", "own")
+    )
+    right = twice.select("first", "second", F.col("line").alias("b"), F.col("own").alias("own_b"))
     across = (
-        placed.select("band", F.col("line").alias("a"), "own")
-        .join(outside, "band")
-        .where("own != own_b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        twice.withColumnRenamed("line", "a")
+        .join(right, ["first", "second"])
+        .where("own < own_b")
+        .select("a", "b")
         .distinct()
     )
     more = _verified(across, found, shingle, similarity)
     return connected_components(links.unionAll(more), work)
 
 
+def _sketch(lines: DataFrame) -> bytes:
+    """A bit map of fixed size in which every line's bit is set, to leave most other lines
+    out before they are shuffled. However many lines there are, it does not grow."""
+    place = F.col("line").bitwiseAND(F.lit(SKETCH_BITS - 1))
+    word = F.shiftright(place, 6)
+    bit = F.expr(f"shiftleft(1L, CAST((line & {SKETCH_BITS - 1}) & 63 AS INT))")
+    words = lines.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    full = np.zeros(SKETCH_BITS // 64, np.int64)
+    found = words.toArrow()
+    full[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return full.tobytes()
+
+
 def removed_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings
 ) -> DataFrame:
