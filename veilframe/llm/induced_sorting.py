@@ -160,7 +160,7 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray:
-    """For each position, the length of the prefix its suffix shares with the one before it
+    """For each position of a text of 16-bit symbols, the length of the prefix its suffix shares with the one before it
     in the suffix array, up to the first symbol of at most ``stop``.
 
     Where the symbols before two neighbours agree, the length is one less than that of the
@@ -176,8 +176,24 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray:
     value = np.zeros(n, np.int64)
     active = fixed[before[fixed] >= 0]
     at, to = active.copy(), before[active]
+    # Four symbols at a time while they agree, the rest one by one.
+    four = np.zeros(n, np.uint64)
+    going = s > stop
+    all_going = going.copy()
+    for k in range(4):
+        four[: max(n - k, 0)] |= s[k:].astype(np.uint64) << np.uint64(16 * k)
+        all_going[: max(n - k, 0)] &= going[k:]
+    all_going[max(n - 3, 0) :] = False
+    rest = []
     while len(active):
-        equal = (s[at] == s[to]) & (s[at] > stop)
+        equal = (four[at] == four[to]) & all_going[at]
+        rest.append((active[~equal], at[~equal], to[~equal]))
+        active, at, to = active[equal], at[equal] + 4, to[equal] + 4
+        value[active] += 4
+    if rest:
+        active, at, to = (np.concatenate(x) for x in zip(*rest))
+    while len(active):
+        equal = (s[at] == s[to]) & going[at]
         active, at, to = active[equal], at[equal] + 1, to[equal] + 1
         value[active] += 1
     source = np.maximum.accumulate(np.where(reducible, 0, np.arange(n)))

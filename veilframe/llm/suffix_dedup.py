@@ -25,7 +25,7 @@ from veilframe.llm.storage import Workspace
 from veilframe.llm.text import chunks, only
 
 LENGTH = 200
-ANCHOR = 96
+ANCHOR = 64
 # A shard's segments, and how many different ones an anchor may have there. The segments of
 # more frequent anchors are taken apart into single strings first.
 SHARD_BYTES = 1 << 20
