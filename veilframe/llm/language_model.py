@@ -28,8 +28,8 @@ from veilframe.llm.line_dedup import _mixed, _powers
 # Weight of the bigram estimate.
 SHARE = 0.3
 # A block is what one task scores, a bucket what one task adds up; both in bytes of text.
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
 
 _BYTE_VALUE = _mixed(np.arange(1, 257, dtype=np.uint64))
 _END = np.uint64(0x5851F42D4C957F2D)
