@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 ROWS, BANDS = 4, 13
 # In buckets up to this size all lines that are still apart are compared.
 SMALL_BUCKET = 8
+# Shingle sets a task remembers while it verifies pairs.
+KNOWN_SETS = 256
 # The bit map of lines whose texts are needed: two megabytes.
 SKETCH_BITS = 1 << 24
 
@@ -191,17 +193,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Only the left line comes again and again; sets are large, so few are kept.
             known: dict[int, frozenset[str]] = {}
 
             def shingles(line: int, text: str) -> frozenset[str]:
                 if line not in known:
+                    if len(known) >= KNOWN_SETS:
+                        known.clear()
                     known[line] = shingle_set(text, shingle)
                 return known[line]
 
             left, right = batch["a"].to_pylist(), batch["b"].to_pylist()
             near = []
             for a, b, s, t in zip(left, right, batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
-                one, other = shingles(a, s), shingles(b, t)
+                one, other = shingles(a, s), shingle_set(t, shingle)
                 if min(len(one), len(other)) < similarity * max(len(one), len(other)):
                     near.append(False)
                     continue
