@@ -478,3 +478,22 @@ def test_line_dedup(make, bucket):
 def test_line_dedup_misses_nothing(documents):
     found = {(r.doc_id, r.number) for r in line_dedup.removed_lines(documents).collect()}
     assert found == plain_removed([(d.doc_id, d.text) for d in documents.collect()])
+
+
+@pytest.mark.parametrize("bucket", [0, 8, 1000])
+def test_line_dedup_verifies_pairs_of_one_bucket(make, bucket):
+    # With a single band no two lines share a second bucket.
+    rng = random.Random(9)
+    lines = []
+    for _ in range(60):
+        line = "the very same beginning " + "".join(rng.choice("abcdefgh") for _ in range(12))
+        lines += [line, line[:-1] + "z"]
+    raw = [line.encode() for line in lines]
+    edges = np.cumsum([0, *map(len, raw)])
+    table = line_dedup.signatures(b"".join(raw), edges[:-1], edges[1:], line_dedup.SHINGLE, 1)
+    keys = line_dedup.band_keys(table, 1)[:, 0].tolist()
+    assert max(collections.Counter(keys).values()) >= 9
+    expected = {(i + 1, 0) for i in range(0, len(lines), 2) if keys[i] == keys[i + 1]}
+    assert len(expected) > 50
+    found = line_dedup.removed_lines(make(lines), rows=1, bands=1, smallest=bucket).collect()
+    assert {(r.doc_id, r.number) for r in found} == expected

@@ -25,7 +25,8 @@ SHINGLE = 10
 SIMILARITY = 0.8
 # At the threshold, a pair shares a band with probability 1 - (1 - 0.8^4)^13 = 0.999.
 ROWS, BANDS = 4, 13
-# In buckets up to this size all lines that are still apart are compared.
+# In buckets up to this size lines that are still apart are paired without a look at their
+# shingles first.
 SMALL_BUCKET = 8
 # Shingle sets a task remembers while it verifies pairs.
 KNOWN_SETS = 256
@@ -233,10 +234,10 @@ def line_links(
     the least line of each. ``docs`` has ``id`` and ``text``.
 
     Only components matter, so a bucket's lines are first compared with its least line alone,
-    one pair a line. Lines that this leaves in another component are compared with those
-    lines of the bucket outside their own component that share a second bucket with them,
-    unless the bucket has no more than ``smallest`` lines: then with all. Two lines at the
-    threshold share two of the bands with probability 0.99, more similar ones surely.
+    one pair a line. Every pair of a bucket that this leaves in two components is compared
+    too, but for pairs that cannot be similar enough: in buckets of more than ``smallest``
+    lines, pairs whose rarest shingles or numbers of shingles rule it out. ``smallest`` is a
+    matter of cost and changes no result.
     """
     texts = docs.select("text")
     keyed = _bands(texts, shingle, rows, bands).repartition("band")
@@ -262,24 +263,67 @@ def line_links(
     open_ = work.store(placed.join(open_, "band").select("band", "small", "line", "own"))
     if open_.isEmpty():
         return roots
-    one = open_.where("NOT small").select(F.col("band").alias("first"), "line", "own")
-    second = open_.select(F.col("band").alias("second"), "line")
-    twice = one.join(second, "line").where("first < second").select("first", "second", "line", "own")
-    twice = twice.unionAll(
-        open_.where("small").select(F.col("band").alias("first"), F.col("band").alias("second"), "line", "own")
-    )
-    right = twice.select("first", "second", F.col("line").alias("b"), F.col("own").alias("own_b"))
-    across = (
-        twice.withColumnRenamed("line", "a")
-        .join(right, ["first", "second"])
-        .where("own < own_b")
-        .select("a", "b")
-        .distinct()
-    )
+    small, large = open_.where("small"), open_.where("NOT small").drop("small")
+    across = _across(small, ["band"]).unionAll(_likely(large, found, work, shingle, similarity)).distinct()
     more = _verified(across, found, shingle, similarity)
     return connected_components(links.unionAll(more), work)
 
 
+def _across(members: DataFrame, keys: list[str], condition: str = "true") -> DataFrame:
+    """(a, b): lines of different components that have equal ``keys``."""
+    other = members.select(*keys, *[F.col(c).alias(f"{c}_b") for c in members.columns if c not in keys])
+    both = members.join(other, keys).where(f"own < own_b AND {condition}")
+    return both.select(F.col("line").alias("a"), F.col("line_b").alias("b"))
+
+
+def _likely(members: DataFrame, texts: DataFrame, work: Workspace, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs of lines in one bucket, but in two components, that may be similar.
+
+    With the shingles of every line in one order, rarest first, two lines at the threshold
+    share one of their first n - ceil(similarity * n) + 1, and from the first shared one on
+    both have at least as many left as they must share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            # The sets of so many lines at once; a line's is some ten times its text.
+            for start in range(0, batch.num_rows, KNOWN_SETS):
+                part = batch.slice(start, KNOWN_SETS)
+                sets = [
+                    np.unique(np.array([digest(s.encode()) for s in shingle_set(t, shingle)], np.uint64))
+                    for t in part["text"].to_pylist()
+                ]
+                sizes = [len(s) for s in sets]
+                columns = [
+                    pa.array(np.repeat(part["line"].to_numpy(), sizes)),
+                    pa.array(np.concatenate(sets).view(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["line", "shingle"])
+
+    lines = members.select("line").distinct()
+    shingles = work.store(texts.join(lines, "line", "left_semi").mapInArrow(run, "line bigint, shingle bigint"))
+    times = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    ordered = (
+        shingles.join(times, "shingle")
+        .groupBy("line")
+        .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("all"))
+        .withColumn("size", F.size("all"))
+    )
+    first = F.slice("all", F.lit(1), F.expr(f"size - CAST(ceil({similarity}D * size - 1e-9D) AS INT) + 1"))
+    prefix = (
+        ordered.select("line", "size", F.posexplode(first).alias("place", "one"))
+        .where("one.times > 1")
+        .select("line", "one.shingle", (F.col("size") - F.col("place")).alias("left"), "size")
+    )
+    prefix = work.store(members.join(prefix, "line"))
+    keys = ["band", "shingle"]
+    parted = prefix.groupBy(*keys).agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
+    prefix = prefix.join(parted.select(*keys), keys)
+    share = similarity / (1 + similarity)
+    return _across(prefix, keys, f"least(left, left_b) >= {share}D * (size + size_b) - 1e-9D")
+
+
 def _sketch(lines: DataFrame) -> bytes:
     """A bit map of fixed size in which every line's bit is set, to leave most other lines
     out before they are shuffled. However many lines there are, it does not grow."""
