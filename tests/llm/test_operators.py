@@ -497,3 +497,36 @@ def test_line_dedup_verifies_pairs_of_one_bucket(make, bucket):
     assert len(expected) > 50
     found = line_dedup.removed_lines(make(lines), rows=1, bands=1, smallest=bucket).collect()
     assert {(r.doc_id, r.number) for r in found} == expected
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(make):
+    rows = [
+        (None, "x\nunique1"),
+        (None, "p\nx"),
+        (None, "q\n\nx"),
+        (1, "y\nunique2"),
+        (1, "r\ny"),
+        (2, "s\n\nt"),
+        (2, "s\n\nt"),
+        (2, "s\n\nt"),
+        (None, "u\nv"),
+        (None, "u\nv"),
+        (None, None),
+        (None, None),
+        (None, ""),
+        (None, ""),
+    ]
+    cleaned = line_dedup.drop_lines(make(rows, extra=True))
+    assert cleaned.columns[:-2] == make(rows, extra=True).columns
+    # Of x the least number stays, then y in the row where it comes first; one of equal rows.
+    expected = [(None, "x\nunique1", 0), (None, "p", 1), (None, "q\n", 1), (1, "y\nunique2", 0), (1, "r", 1)]
+    expected += [(2, "s\n\nt", 0), (2, "", 2), (2, "", 2), (None, "u\nv", 0), (None, "", 2)]
+    expected += [(None, None, 0), (None, None, 0), (None, "", 0), (None, "", 0)]
+    found = [(r.doc_id, r.text, r._n_removed) for r in cleaned.collect()]
+    assert collections.Counter(found) == collections.Counter(expected)
+    assert {r.id for r in cleaned.collect()} == {"x0"}
+
+
+def test_line_dedup_keeps_one_of_lines_at_one_place(make):
+    texts = [r.text for r in line_dedup.drop_lines(make([(None, "same\na"), (None, "same\nb"), (5, "c\nd")])).collect()]
+    assert sorted("\n".join(texts).split("\n")) == ["a", "b", "c", "d", "same"]

@@ -161,12 +161,13 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch["text"], CHUNK):
                 lines = Lines(chunk)
-                ids = batch["id"][chunk.rows].take(pa.array(lines.row))
-                columns = [pa.array(lines.hash), ids, pa.array(lines.number.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["line", "id", "number"])
+                row = pa.array(lines.row)
+                columns = [pa.array(lines.hash), *[batch[c][chunk.rows].take(row) for c in ("id", "mark")]]
+                columns.append(pa.array(lines.number.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, ["line", "id", "mark", "number"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"line bigint, id {kind}, number int")
+    return docs.select("id", "mark", "text").mapInArrow(run, f"line bigint, id {kind}, mark bigint, number int")
 
 
 def _line_texts(docs: DataFrame, sketch: bytes) -> DataFrame:
@@ -337,19 +338,24 @@ def _sketch(lines: DataFrame) -> bytes:
     return full.tobytes()
 
 
-def removed_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings
-) -> DataFrame:
-    """(id, number int): the lines to remove, numbered from 0 between line feeds.
-
-    Lines without a word are never removed. Of a component the line of least (id, number)
-    stays, null ids last; rows that share an id count as copies of one document.
-    """
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` as (id, text, mark), a mark for each text."""
     rows = only(docs, id_col, text_col).toDF("id", "text")
-    work = Workspace(docs.sparkSession, "lines")
-    roots = line_links(rows, work, **settings).select(F.col("node").alias("line"), "root")
-    places = work.store(_occurrences(rows))
-    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "number")
+    return rows.withColumn("mark", F.xxhash64("text"))
+
+
+def _equal_rows(rows: DataFrame, work: Workspace) -> DataFrame:
+    """(id, mark) of the rows that occur more than once with a text."""
+    times = rows.where("text IS NOT NULL").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    return work.store(times.where("times > 1").select("id", "mark"))
+
+
+def _removals(docs: DataFrame, equal: DataFrame, work: Workspace, **settings) -> DataFrame:
+    """(id, mark, again, number): the lines to remove; ``again`` has those that equal rows
+    lose after the first of them, which are all their lines."""
+    roots = line_links(docs, work, **settings).select(F.col("node").alias("line"), "root")
+    places = work.store(_occurrences(docs))
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "number", "mark")
     by_line = places.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     heads = roots.select(F.col("root").alias("line"), F.lit(True).alias("heads")).distinct()
     joined = (
@@ -361,27 +367,67 @@ def removed_lines(
     repeated = work.store(joined)
     firsts = repeated.groupBy("root").agg(F.min("first").alias("stays"))
     named = repeated.join(firsts, "root").select("line", "stays")
-    return (
-        places.join(named, "line")
-        .where(~(F.col("stays.id").eqNullSafe(F.col("id")) & (F.col("stays.number") == F.col("number"))))
-        .select(F.col("id").alias(id_col), "number")
-        .distinct()
-    )
+    stays = F.col("stays.id").eqNullSafe(F.col("id"))
+    for name in ("mark", "number"):
+        stays &= F.col(f"stays.{name}") == F.col(name)
+    gone = places.join(named, "line").where(~stays).select("id", "mark", F.lit(False).alias("again"), "number")
+    if not equal.isEmpty():
+        same = places["id"].eqNullSafe(equal["id"]) & (places["mark"] == equal["mark"])
+        copies = places.join(equal, same, "left_semi")
+        gone = gone.unionAll(copies.select("id", "mark", F.lit(True).alias("again"), "number"))
+    return gone.distinct()
+
+
+def removed_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings
+) -> DataFrame:
+    """(id, mark, again, number int): the lines to remove, numbered from 0 between line feeds.
+
+    Lines without a word are never removed. Of a component the line of least (id, number)
+    stays, null ids last. Every row is a document of its own, also where ids are null or
+    repeated: ``mark``, the 64-bit hash of its text, tells rows of one id apart. Of rows equal
+    in id and text one, whichever, is the first (``again`` is false); the others lose all
+    their lines.
+    """
+    work = Workspace(docs.sparkSession, "lines")
+    rows = _marked(docs, id_col, text_col)
+    gone = _removals(rows, _equal_rows(rows, work), work, **settings)
+    return gone.select(F.col("id").alias(id_col), "mark", "again", "number")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, in all its columns and rows, and
     ``_n_lines`` and ``_n_removed``. A null text stays null."""
-    gone = removed_lines(docs, id_col, text_col, **settings)
-    gone = gone.groupBy(gone[id_col].alias("_id")).agg(F.collect_list("number").alias("_gone"))
-    # Columns are taken from their tables, since ``docs`` may have any names.
-    numbers, text = gone["_gone"], docs[f"`{text_col}`"]
-    lines = F.split(text, "\n")
+    work = Workspace(docs.sparkSession, "lines")
+    rows = _marked(docs, id_col, text_col)
+    equal = _equal_rows(rows, work)
+    gone = _removals(rows, equal, work, **settings)
+    gone = gone.groupBy("id", "mark", "again").agg(F.collect_list("number").alias("gone"))
+    # Columns stay inside of a struct, since ``docs`` may have any names.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    id_, text = F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`")
+    marked = docs.select(whole).withColumns({"row_id": id_, "row_mark": F.xxhash64(text)})
+    marked = _first_or_again(marked, equal, work)
+    here = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_mark") == F.col("mark"))
+    joined = marked.join(gone, here & (F.col("row_again") == F.col("again")), "left")
+    numbers, lines = F.col("gone"), F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
     cleaned = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    joined = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_id"]), "left")
     return joined.select(
-        *[F.when(numbers.isNull(), text).otherwise(cleaned).alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns],
+        *[F.when(numbers.isNull(), text).otherwise(cleaned).alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns],
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("_n_lines"),
         F.when(numbers.isNull() | text.isNull(), 0).otherwise(F.size(numbers)).cast("bigint").alias("_n_removed"),
     )
+
+
+def _first_or_again(rows: DataFrame, equal: DataFrame, work: Workspace) -> DataFrame:
+    """``rows`` (doc, row_id, row_mark) with ``row_again``: false for one of equal rows, true
+    for the others. Only equal rows are stored and numbered."""
+    if equal.isEmpty():
+        return rows.withColumn("row_again", F.lit(False))
+    here = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_mark") == F.col("mark"))
+    copies = work.store(rows.join(equal, here, "left_semi").withColumn("nth", F.monotonically_increasing_id()))
+    firsts = copies.groupBy(F.col("row_id").alias("id"), F.col("row_mark").alias("mark")).agg(F.min("nth").alias("least"))
+    again = copies.join(firsts, here).select("doc", "row_id", "row_mark", (F.col("nth") != F.col("least")).alias("row_again"))
+    single = rows.join(equal, here, "left_anti").withColumn("row_again", F.lit(False))
+    return single.unionAll(again)
