@@ -255,6 +255,29 @@ def test_decontamination_against_plain_distance(spark, make):
     assert decontamination.contaminated(docs, table.limit(0)).collect() == []
 
 
+def test_short_items_are_found(spark, make):
+    items = [(1, "What is the capital of France?"), (2, "Who wrote it"), (3, "2+2=4"), (4, " \n"), (5, "ion"), (6, "é")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = [
+        "so: what  is the\ncapital of FRANCE? paris",
+        "what is teh capital of france?",
+        "what was the capitol in france?",
+        "who wrode it",
+        "who wrodde it",
+        "(2+2=4)",
+        "12+2=4",
+        "nation ions",
+        "an ion.",
+        "été é",
+        "été",
+    ]
+    expected = {(0, 1, 0), (1, 1, 2), (3, 2, 1), (5, 3, 0), (8, 5, 0), (9, 6, 0)}
+    rows = decontamination.contaminated(make(texts), table).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in rows} == expected
+    clean = decontamination.drop_contaminated(make(texts), table).collect()
+    assert {r.doc_id for r in clean} == set(range(len(texts))) - {d for d, _, _ in expected}
+
+
 # 6
 
 

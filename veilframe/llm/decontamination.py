@@ -3,6 +3,7 @@
 An item of m characters may differ in k of them. Cut into k + 1 pieces, at least one piece
 of any such occurrence is untouched, so an Aho-Corasick automaton over all pieces finds
 every candidate, and Myers' bit-parallel distance verifies it in the window around the hit.
+An item too short to differ at all (k = 0) must stand as whole words, not inside of others.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from veilframe.llm.text import only
 
 # Characters of an item that may differ, as a share of all.
 ERROR_RATE = 0.1
-# Shorter items occur by chance and are never looked for.
-SHORTEST_ITEM = 40
+# Every item is looked for that has a character besides white space.
+SHORTEST_ITEM = 1
 # Items are matched in blocks of about so many characters, which is what a task holds.
 BLOCK_CHARS = 1 << 20
 # Candidates verified at once.
@@ -86,6 +87,13 @@ class Matcher:
         """A number for each symbol: from 1 for those of items, 0 for any other."""
         return self._code[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
+    def _whole_words(self, text: str, item: int, begin: int) -> bool:
+        """No letter or digit of the item is continued by one of the text."""
+        wanted = self.items[item][1]
+        end = begin + len(wanted)
+        before, after = text[begin - 1 : begin] if begin else "", text[end : end + 1]
+        return not (wanted[0].isalnum() and before.isalnum()) and not (wanted[-1].isalnum() and after.isalnum())
+
     @staticmethod
     def _pair(codes: np.ndarray) -> np.ndarray:
         left, right = codes[..., :-1].astype(np.int64), codes[..., 1:]
@@ -104,6 +112,7 @@ class Matcher:
             begins = {
                 (item, last + 1 - size - a) for last, (size, where) in self._automaton.iter(text) for item, a in where
             }
+            begins = {(item, begin) for item, begin in begins if self._budget[item] or self._whole_words(text, item, begin)}
             if begins:
                 coded = self._coded(text)
                 hits.extend((number, coded, item, begin) for item, begin in sorted(begins))
@@ -236,7 +245,8 @@ def contaminated(
     """(id, item_id, distance, item_chars, match_end) of every document and item it holds
     within the error budget; ``match_end`` counts characters of the normalised text.
 
-    Null and empty texts hold nothing; null or short items are never looked for; repeated
+    Null and empty texts hold nothing; null items and those of white space only are never
+    looked for; items below ``shortest_item`` characters neither, by default none; repeated
     items with one id count once, repeated documents each for themselves.
     """
     kind = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
