@@ -215,6 +215,26 @@ def test_assignment_balances_cost():
     assert max(full) < 1.2 * min(full)
 
 
+def test_assignment_looks_at_every_sequence():
+    rng = random.Random(8)
+    for size, n in ((1024, 400), (2048, 900), (64, 500)):
+        lengths = [rng.choice([rng.randint(1, size // 20), rng.randint(1, size - 1)]) for _ in range(n)]
+        room = packing.capacities(sum(lengths), size)
+        cost, expected = [0.0] * len(room), []
+        for doc in sorted(range(n), key=lambda d: (-lengths[d], d)):
+            left, start = lengths[doc], 0
+            while left:
+                fitting = [s for s in range(len(room)) if room[s] >= left] if not start else []
+                s = min(fitting or [s for s in range(len(room)) if room[s]], key=lambda s: (cost[s], s))
+                length = min(left, room[s])
+                expected.append((doc, start, length, s))
+                room[s] -= length
+                cost[s] += packing.piece_cost(length)
+                start, left = start + length, left - length
+        assert len(cost) > 64
+        assert [p[:4] for p in packing.assign(lengths, size)] == expected
+
+
 # 5
 
 

@@ -9,7 +9,6 @@ tokens of a group, which go to sequences of powers of two, the lengths that need
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -61,34 +60,28 @@ def assign(lengths: list[int], size: int) -> list[tuple[int, int, int, int, int]
         if tokens % size:
             rests.append((-(tokens % size), doc, tokens - tokens % size))
     room = capacities(-sum(r[0] for r in rests), size)
-    used = [0] * len(room)
-    open_now = [(0.0, s) for s in range(len(room))]
-    heapq.heapify(open_now)
+    free, costs = np.array(room, np.int64), np.zeros(len(room))
 
-    def place(doc: int, start: int, length: int, cost: float, s: int) -> None:
-        pieces.append((doc, start, length, sequence + s, used[s]))
-        used[s] += length
-        if used[s] < room[s]:
-            heapq.heappush(open_now, (cost + piece_cost(length), s))
+    def cheapest(tokens: int) -> int:
+        """The sequence of lowest cost with room for so many tokens, -1 if there is none."""
+        s = int(np.where(free >= tokens, costs, np.inf).argmin())
+        return s if free[s] >= tokens else -1
+
+    def place(doc: int, start: int, length: int, s: int) -> None:
+        pieces.append((doc, start, length, sequence + s, room[s] - int(free[s])))
+        free[s] -= length
+        costs[s] += piece_cost(length)
 
     for negative, doc, start in sorted(rests):
         left = -negative
-        passed = []
-        # The cheapest sequence with room for all of it; a bounded look, since near the end
-        # hardly any has room.
-        while open_now and len(passed) < 64:
-            cost, s = heapq.heappop(open_now)
-            if room[s] - used[s] >= left:
-                place(doc, start, left, cost, s)
-                left = 0
-                break
-            passed.append((cost, s))
-        for entry in passed:
-            heapq.heappush(open_now, entry)
+        s = cheapest(left)
+        if s >= 0:
+            place(doc, start, left, s)
+            continue
         while left:
-            cost, s = heapq.heappop(open_now)
-            length = min(left, room[s] - used[s])
-            place(doc, start, length, cost, s)
+            s = cheapest(1)
+            length = min(left, int(free[s]))
+            place(doc, start, length, s)
             start += length
             left -= length
     return pieces
