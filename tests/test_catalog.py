@@ -38,3 +38,14 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_bad_rows_are_written_by_partition(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 100, 1, 4).selectExpr("id AS o_orderkey", "'O' AS o_orderstatus")
+    monkeypatch.setattr(entry.catalog, "_scratch", lambda *_: f"{tmp_path}/out")
+    monkeypatch.setattr(entry.catalog.roles, "table", lambda *_: rows)
+    assert entry.catalog.csv_bad_rows(spark, str(tmp_path)).first().bad_rows == 20
+    files = [f.read_text().splitlines() for f in (tmp_path / "out").glob("part-*")]
+    assert len(files) == 4 and all(f[0] == "Id,STATUS" for f in files)
+    expected = sorted(f"{i},O,extra" if i % 5 == 0 else f"{i},O" for i in range(100))
+    assert sorted(line for f in files for line in f[1:]) == expected

@@ -443,13 +443,15 @@ def _csv_inputs(spark: SparkSession, d: str, root: str) -> tuple[str, str]:
 
 
 def csv_bad_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A file in which every fifth row has a cell too many: how many are found."""
+    """Files in which every fifth row has a cell too many: how many are found. Each input
+    partition becomes a file that begins with the header."""
     path = _scratch(spark, "bad-rows")
     key = F.col("o_orderkey").cast("string")
     row = F.concat_ws(",", key, F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 5 == 0, "extra"))
-    rows = roles.table(spark, d, "orders").select(row.alias("value"))
-    header = spark.createDataFrame([("Id,STATUS",)], "value string")
-    header.coalesce(1).unionAll(rows).coalesce(1).write.text(path)
+    # Whole rows as the one column of a CSV file, whose name is the header.
+    rows = roles.table(spark, d, "orders").select(row.alias("Id,STATUS"))
+    whole = rows.write.option("header", True).option("sep", "\x01").option("emptyValue", "")
+    whole.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return tabular.count_bad_rows(spark, path)
 
 
