@@ -167,5 +167,51 @@ def _ablation_sql() -> str:
     FROM ledger, (VALUES {cases}) AS c(policy, rule, enforced, own) GROUP BY policy, rule"""
 
 
+def _op12_sql() -> str:
+    """CRC-32 byte by byte, over a table made by its polynomial, for every distinct word."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+    return f"""
+    WITH shifts AS (
+      SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+      FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+    ), docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents
+    ), doc_words AS (SELECT r, unnest(words) AS word FROM docs
+    ), target_words AS (SELECT unnest({words}) AS word FROM benchmark
+    ), hashed AS (
+      SELECT word, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+          list_transform(range(0, CAST(length(hex(word)) / 2 AS BIGINT)),
+            lambda i: CAST('0x' || substr(hex(word), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+      FROM (SELECT word FROM doc_words UNION SELECT word FROM target_words), shifts
+    ), in_docs AS (SELECT bucket, count(*) AS s FROM doc_words JOIN hashed USING (word) GROUP BY bucket
+    ), in_target AS (SELECT bucket, count(*) AS t FROM target_words JOIN hashed USING (word) GROUP BY bucket
+    ), gains AS (
+      SELECT bucket, floor(1000 * ln(
+        (coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM in_docs) + 10000)
+        / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM in_target) + 10000)))) AS gain
+      FROM in_docs FULL JOIN in_target USING (bucket)
+    ), weights AS (
+      SELECT r, sum(gain) AS weight FROM doc_words JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY r
+    ), scored AS (
+      SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln(
+          (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5)
+          / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+      FROM docs LEFT JOIN weights USING (r)
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+        count(*) FILTER (n_features >= 20) OVER () AS n FROM scored
+    )
+    SELECT doc_id, n_features, weight, score,
+      CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+    FROM placed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "rule_ablation": _ablation_sql()}
+    return {
+        "op1_quality_rules": _op1_sql(),
+        "rule_ablation": _ablation_sql(),
+        "op12_importance_resampling": _op12_sql(),
+    }
