@@ -59,7 +59,7 @@ RAW_PATIENTS = """raw_patients AS (
         CASE WHEN c_custkey % 11 = 0 THEN DATE '2021-01-01' + CAST(c_custkey % 1000 AS INTEGER) END AS death,
         CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
         CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment ELSE 'UNKNOWN' END AS race,
-        n_name AS city, r_name AS state, lpad(c_custkey::VARCHAR, greatest(5, length(c_custkey::VARCHAR)), '0') AS zip
+        n_name AS city, r_name AS state, lpad(c_custkey::VARCHAR, CAST(greatest(5, length(c_custkey::VARCHAR)) AS INTEGER), '0') AS zip
     FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
     LEFT JOIN region ON n_regionkey = r_regionkey)"""
 RAW_ENCOUNTERS = """raw_encounters AS (
@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
                 THEN 'KNOWN-' || patient ELSE {key("patient")} END AS patient_deid_key,
             {iso(f"start + {offset('patient')}")} AS start_time FROM raw_encounters""",
         "zip_population": f"""WITH {PATIENTS}, areas AS (
-                SELECT substr(lpad(c_custkey::VARCHAR, greatest(5, length(c_custkey::VARCHAR)), '0'), 1, 3) || 'XX' AS area,
+                SELECT substr(lpad(c_custkey::VARCHAR, CAST(greatest(5, length(c_custkey::VARCHAR)) AS INTEGER), '0'), 1, 3) || 'XX' AS area,
                     sum(c_nationkey) * 16 AS people FROM customer GROUP BY 1)
             SELECT patient_deid_key,
                 CASE WHEN people > 20000 THEN coarsened_zip ELSE '000XX' END AS coarsened_zip

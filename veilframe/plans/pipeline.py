@@ -55,6 +55,12 @@ def safe_message(error: Exception) -> str:
     return f"{type(error).__name__}: {condition}" if condition else type(error).__name__
 
 
+def stack_trace(error: Exception) -> str:
+    """Where an error came from, the way Python prints it but for the message."""
+    calls = "".join(traceback.format_tb(error.__traceback__))
+    return f"Traceback (most recent call last):\n{calls}{type(error).__name__}"
+
+
 class RunLog:
     """Appends one span for each finished stage of a run to a JSON-lines log."""
 
@@ -80,7 +86,7 @@ class RunLog:
             detail = {
                 "exception.type": type(error).__name__,
                 "exception.message": message,
-                "exception.stacktrace": "".join(traceback.format_tb(error.__traceback__)),
+                "exception.stacktrace": stack_trace(error),
             }
             events = F.array(
                 F.struct(

@@ -51,7 +51,9 @@ def read_text_cells(
         .option("columnPruning", False)
     )
     names = reader.csv(path).columns
-    _refuse_renamed(names)
+    if spark.conf.get("spark.sql.caseSensitive") != "true":
+        header = spark.read.option("multiLine", multiline).option("escape", '"').csv(path).first()
+        _refuse_renamed(header or ())
     schema = StructType([StructField(n, StringType()) for n in [*names, BAD_ROW]])
     marked = reader.schema(schema).csv(path)
     bad = F.col(BAD_ROW)
@@ -76,16 +78,14 @@ def count_bad_rows(spark: SparkSession, path: str | list[str], multiline: bool =
     return marked.agg(F.count(F.when(F.col(BAD_ROW).isNotNull(), cell)).alias("bad_rows"))
 
 
-def _refuse_renamed(columns: Sequence[str]) -> None:
-    """Spark numbers header names that differ only in case, all of them by their position,
-    which would hide them from the lookup by name."""
-    bases: dict[str, str] = {}
-    numbered = [(name, name.removesuffix(str(i))) for i, name in enumerate(columns)]
-    plain = {name.lower() for name, base in numbered if base == name}
-    for name, base in numbered:
-        if base != name and base.lower() not in plain and bases.setdefault(base.lower(), base) != base:
+def _refuse_renamed(header: Sequence[str | None]) -> None:
+    """Spark numbers header names that differ only in case, which would hide them from the
+    lookup by name. The header line itself tells them from names that end in a number."""
+    seen: dict[str, str] = {}
+    for name in header:
+        if name is not None and seen.setdefault(name.lower(), name) != name:
             raise ValueError(
-                f"columns {bases[base.lower()]!r} and {base!r} differ only in case; "
+                f"columns {seen[name.lower()]!r} and {name!r} differ only in case; "
                 "set spark.sql.caseSensitive to true to read them"
             )
 
