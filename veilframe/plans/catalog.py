@@ -414,6 +414,40 @@ def stored_tables(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def bucketed_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Both tables bucketed by patient, joined and summed where they lie."""
+    root = _scratch(spark, "buckets")
+    tables = {store.PATIENTS: _patients(spark, d), store.ENCOUNTERS: _encounters(spark, d)}
+    store.export_bucketed(tables, root, joins.KEY, 8, files_per_bucket=2)
+    opened = store.open_store(spark, root, tables)
+    return _rounded(
+        summary.clinical_summary(opened[store.PATIENTS], opened[store.ENCOUNTERS]), "total_clinical_cost"
+    )
+
+
+def store_survives_failed_write(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables replaced by a job whose second table fails after most of its rows: the store
+    still has both old ones, here counted by age group and year."""
+    root = _scratch(spark, "survives")
+    patients, encounters = _patients(spark, d), _encounters(spark, d)
+    store.export_tables({store.PATIENTS: patients, store.ENCOUNTERS: encounters}, root)
+    broken = F.when(F.col("cost") > 400_000, F.raise_error(F.lit("lost"))).otherwise(F.col("cost"))
+    replaced = {
+        store.PATIENTS: patients.withColumn("age_bucket", F.lit("replaced")),
+        store.ENCOUNTERS: encounters.withColumn("cost", broken.cast("double") * 0).withColumn("start_time", F.lit("0")),
+    }
+    failed = False
+    try:
+        store.export_tables(replaced, root)
+    except PySparkException:
+        failed = True
+    opened = store.open_store(spark, root, [store.PATIENTS, store.ENCOUNTERS])
+    ages = opened[store.PATIENTS].select(F.col("age_bucket").alias("group"))
+    years = store.with_start_year(opened[store.ENCOUNTERS]).select(F.col("start_year").alias("group"))
+    rows = ages.unionAll(years).groupBy("group").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("write_failed", F.lit(failed))
+
+
 def csv_encounters(spark: SparkSession, d: str) -> DataFrame:
     """Encounters through CSV files and back, then de-identified."""
     path = _scratch(spark, "csv")
@@ -432,7 +466,7 @@ def csv_to_store(spark: SparkSession, d: str) -> DataFrame:
         span_log=f"{root}/spans",
         reference_date=REFERENCE_DATE,
     )
-    stored = spark.read.parquet(store.table_path(f"{root}/store", store.SUMMARY))
+    stored = store.open_store(spark, f"{root}/store", [store.SUMMARY])[store.SUMMARY]
     return _rounded(stored, "total_clinical_cost")
 
 
@@ -606,6 +640,8 @@ def queries() -> dict[str, Query]:
         intent_tags,
         diagnostic_intents,
         stored_tables,
+        bucketed_summary,
+        store_survives_failed_write,
         csv_encounters,
         csv_to_store,
         span_log_roundtrip,

@@ -298,6 +298,11 @@ def oracle_sql() -> dict[str, str]:
         "diagnostic_intents": f"""SELECT doc_id, {ladder("lower(text)", DIAGNOSTIC_INTENTS, "recent")} AS intent
             FROM documents""",
         "stored_tables": SUMMARY,
+        "bucketed_summary": SUMMARY,
+        "store_survives_failed_write": f"""WITH {PATIENTS}, {ENCOUNTERS}
+            SELECT "group", COUNT(*) AS rows, (SELECT MAX(cost) > 400000 FROM deid_encounters) AS write_failed
+            FROM (SELECT age_bucket AS "group" FROM deid_patients
+                  UNION ALL SELECT substr(start_time, 1, 4) FROM deid_encounters) GROUP BY 1""",
         "csv_encounters": DEID_ENCOUNTERS,
         "csv_to_store": SUMMARY,
         "span_log_roundtrip": f"""WITH {SPANS} SELECT * EXCLUDE (parent_span_id)
