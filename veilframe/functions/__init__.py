@@ -5,6 +5,7 @@ from veilframe.functions.identifiers import (
     as_identifier,
     date_offset,
     encounter_key,
+    missing_id_key,
     patient_key,
     provider_key,
 )
@@ -28,6 +29,7 @@ __all__ = [
     "coarsen_zip",
     "date_offset",
     "encounter_key",
+    "missing_id_key",
     "matches_pii",
     "note_or_default",
     "parse_date",

@@ -6,6 +6,8 @@ every executor, in batch and in streams, so linking tables needs no shuffle.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ def patient_key(raw_id: Column, salt: str, hex_len: int = PATIENT_KEY_HEX) -> Co
     return _salted_key(raw_id, salt, PATIENT_PREFIX, hex_len)
 
 
+def missing_id_key(salt: str, hex_len: int = PATIENT_KEY_HEX) -> str:
+    """The pseudonym all null ids share."""
+    digest = hashlib.sha256(f"{salt}_{NULL_ID_TEXT}".encode()).hexdigest()
+    return PATIENT_PREFIX + digest[:hex_len].upper()
+
+
 def provider_key(raw_id: Column, salt: str, hex_len: int = PATIENT_KEY_HEX) -> Column:
     """Pseudonym of a provider; a null provider stays null."""
     return F.when(raw_id.isNotNull(), _salted_key(raw_id, salt, PROVIDER_PREFIX, hex_len))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import as_identifier, matches_pii, patient_key
 from veilframe.functions.dates import TOP_BUCKET
 from veilframe.functions.identifiers import PATIENT_KEY_HEX
-from veilframe.operators.joins import KEY
+from veilframe.operators.joins import KEY, has_id
 from veilframe.sources.schemas import FORBIDDEN_COLUMNS
 from veilframe.sources.store import ENCOUNTERS, PATIENTS
 
@@ -20,6 +20,8 @@ NOTE_COLUMNS = {ENCOUNTERS: ("clinical_notes",)}
 FORBIDDEN_CHECK = "forbidden_column"
 ORPHAN_CHECK = "orphan_encounter"
 BIRTH_DATE_CHECK = "birth_date_of_oldest"
+UNREADABLE_CHECK = "unreadable"
+ALL_TEXT: Mapping[str, Sequence[str]] = {}
 
 
 def pii_counts(df: DataFrame, columns: Sequence[str], checks: Sequence[str] = DEFAULT_CHECKS) -> DataFrame:
@@ -28,67 +30,103 @@ def pii_counts(df: DataFrame, columns: Sequence[str], checks: Sequence[str] = DE
     return _one_pass(df, counts)
 
 
+Counts = dict[tuple[str, str | None], Column]
+
+
 def _one_pass(df: DataFrame, counts: Mapping[tuple[str, str | None], Column]) -> DataFrame:
     aggregates = [count.alias(f"_{i}") for i, count in enumerate(counts.values())]
     totals = df.agg(F.count(F.lit(1)).alias("total_rows"), *aggregates)
-    rows = [
-        F.struct(
-            F.lit(check).alias("check"),
-            F.lit(column).cast("string").alias("column"),
-            F.col(f"_{i}").alias("violations"),
-        )
-        for i, (check, column) in enumerate(counts)
-    ]
-    return totals.select("total_rows", F.explode(F.array(*rows)).alias("finding")).select(
+    findings = [_finding(check, column, F.col(f"_{i}")) for i, (check, column) in enumerate(counts)]
+    return totals.select("total_rows", F.explode(F.array(*findings)).alias("finding")).select(
         "finding.check", "finding.column", "finding.violations", "total_rows"
     )
 
 
+def _finding(check: str, column: str | None, violations: Column, **more: Column) -> Column:
+    return F.struct(
+        *[value.alias(name) for name, value in more.items()],
+        F.lit(check).alias("check"),
+        F.lit(column).cast("string").alias("column"),
+        violations.alias("violations"),
+    )
+
+
 def audit_tables(
     tables: Mapping[str, DataFrame],
     note_columns: Mapping[str, Sequence[str]] = NOTE_COLUMNS,
     checks: Sequence[str] = DEFAULT_CHECKS,
     oldest_birth_dates: bool = False,
     orphans: bool = False,
+    unread: Mapping[str, Mapping[str, Column]] | None = None,
 ) -> DataFrame:
     """(table, check, column, violations, total_rows), one row a check, clean ones included.
 
-    Always checked: column names, and ``checks`` over the note columns. On request: birth
-    dates kept for the top age group, and encounters whose patient is missing.
+    Always checked: column names, and ``checks`` over the note columns, or with ``ALL_TEXT``
+    over all text columns of every table. On request: birth dates kept for the top age group,
+    encounters whose patient is missing, and cells that hold something which cannot be read:
+    ``unread`` has conditions by table and column, such as ``unreadable_date`` of raw dates.
     """
-    reports = []
+    wanted: dict[str, Counts] = {}
     for name, df in tables.items():
         leaked = [c for c in df.columns if c.lower() in FORBIDDEN_COLUMNS]
-        counts: dict[tuple[str, str | None], Column] = {
-            (FORBIDDEN_CHECK, c): F.count(F.lit(1)) * 0 + 1 for c in leaked
-        } or {(FORBIDDEN_CHECK, None): F.count(F.lit(1)) * 0}
-        for column in note_columns.get(name, ()):
+        counts: Counts = {(FORBIDDEN_CHECK, c): F.count(F.lit(1)) * 0 + 1 for c in leaked}
+        wanted[name] = counts = counts or {(FORBIDDEN_CHECK, None): F.count(F.lit(1)) * 0}
+        texts = _text_columns(df) if note_columns is ALL_TEXT else note_columns.get(name, ())
+        for column in texts:
             for check in checks:
-                counts[check, column] = F.count_if(matches_pii(F.col(column), check))
+                counts[check, column] = F.count_if(matches_pii(F.col(f"`{column}`"), check))
         if oldest_birth_dates and {"age_bucket", "shifted_birth_date"} <= set(df.columns):
             kept = (F.col("age_bucket") == TOP_BUCKET) & F.col("shifted_birth_date").isNotNull()
             counts[BIRTH_DATE_CHECK, "shifted_birth_date"] = F.count_if(kept)
-        reports.append(_one_pass(df, counts).select(F.lit(name).alias("table"), "*"))
-    if orphans and {PATIENTS, ENCOUNTERS} <= set(tables):
-        reports.append(
-            _orphan_count(tables[PATIENTS], tables[ENCOUNTERS]).select(
-                F.lit(ENCOUNTERS).alias("table"),
-                F.lit(ORPHAN_CHECK).alias("check"),
-                F.lit(KEY).alias("column"),
-                "violations",
-                "total_rows",
-            )
-        )
+        if unread and name in unread:
+            for column, given in unread[name].items():
+                counts[UNREADABLE_CHECK, column] = F.count_if(given)
+    both = orphans and {PATIENTS, ENCOUNTERS} <= set(tables)
+    reports = [
+        _one_pass(df, wanted[name]).select(F.lit(name).alias("table"), "*")
+        for name, df in tables.items()
+        if not (both and name in (PATIENTS, ENCOUNTERS))
+    ]
+    if both:
+        reports.append(_joint_pass(tables[PATIENTS], tables[ENCOUNTERS], wanted))
     return reduce(DataFrame.unionByName, reports)
 
 
-def _orphan_count(patients: DataFrame, encounters: DataFrame) -> DataFrame:
-    visits = encounters.groupBy(KEY).agg(F.count(F.lit(1)).alias("visits"))
-    known = patients.select(KEY).distinct().withColumn("known", F.lit(True))
-    lost = F.when(F.col("known").isNull(), F.col("visits"))
-    return visits.join(known, KEY, "left").agg(
-        F.coalesce(F.sum(lost), F.lit(0)).alias("violations"),
-        F.coalesce(F.sum("visits"), F.lit(0)).alias("total_rows"),
+def _text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "varchar", "char")]
+
+
+def _joint_pass(patients: DataFrame, encounters: DataFrame, wanted: Mapping[str, Counts]) -> DataFrame:
+    """All checks of both tables and the orphans between them from one scan of each: counts are
+    taken for each key, the keys of both tables meet once, and everything is summed up. An orphan
+    cannot be told by less than a meeting of all keys: a Bloom filter of the patients' keys would
+    only say of some that no patient has them, and of the others, nearly all, nothing for certain.
+    """
+
+    def by_key(df: DataFrame, table: str) -> DataFrame:
+        named = [count.alias(f"{table}_{i}") for i, count in enumerate(wanted[table].values())]
+        return df.groupBy(KEY).agg(F.count(F.lit(1)).alias(f"{table}_rows"), *named)
+
+    visits, people = by_key(encounters, ENCOUNTERS), by_key(patients, PATIENTS)
+    met = visits.join(people, KEY, "full")
+    orphaned = F.col(f"{PATIENTS}_rows").isNull() | ~has_id(patients, encounters) | F.col(KEY).isNull()
+    sums, findings = [], []
+    for table in (PATIENTS, ENCOUNTERS):
+        rows = F.col(f"{table}_total")
+        sums.append(F.coalesce(F.sum(f"{table}_rows"), F.lit(0)).alias(f"{table}_total"))
+        for i, (check, column) in enumerate(wanted[table]):
+            # Names of columns are said once a table, whatever its rows.
+            constant = check == FORBIDDEN_CHECK
+            total = F.lit(0 if column is None else 1).cast("bigint") if constant else F.col(f"{table}_{i}_total")
+            if not constant:
+                sums.append(F.coalesce(F.sum(f"{table}_{i}"), F.lit(0)).alias(f"{table}_{i}_total"))
+            findings.append(_finding(check, column, total, table=F.lit(table), total_rows=rows))
+    lost = F.when(orphaned, F.col(f"{ENCOUNTERS}_rows"))
+    sums.append(F.coalesce(F.sum(lost), F.lit(0)).alias("orphans"))
+    total_rows = F.col(f"{ENCOUNTERS}_total")
+    findings.append(_finding(ORPHAN_CHECK, KEY, F.col("orphans"), table=F.lit(ENCOUNTERS), total_rows=total_rows))
+    return met.agg(*sums).select(F.explode(F.array(*findings)).alias("f")).select(
+        "f.table", "f.check", "f.column", "f.violations", "f.total_rows"
     )
 
 

@@ -7,9 +7,9 @@ import re
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-# Statements that only describe, and expressions that run arbitrary JVM code.
+# Statements that only describe, and functions that run arbitrary JVM code.
 DESCRIBING = ("show", "describe", "desc")
-UNSAFE_EXPRESSIONS = ("CallMethodViaReflection", "TryReflect")
+UNSAFE_FUNCTIONS = ("reflect", "java_method", "try_reflect")
 
 # What span reports say instead of an empty list.
 NO_SPANS = "NO_TRACES_FOUND"
@@ -20,58 +20,33 @@ _LEADING_WORD = re.compile(r"\s*(\w+)")
 _SQL_ON_FILES = "spark.sql.runSQLOnFiles"
 
 
-class NotReadOnly(ValueError):
-    """The statement could do more than read."""
+def _guarded(spark: SparkSession) -> SparkSession:
+    """A copy of the session, with its views and settings, in which nothing can call into the
+    JVM or read a file by its path. The caller's own session is left as it is."""
+    jvm = spark._jvm
+    copy = spark._jsparkSession.cloneSession()
+    registry = copy.sessionState().functionRegistry()
+    for name in UNSAFE_FUNCTIONS:
+        registry.dropFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    session = SparkSession(spark.sparkContext, copy)
+    session.conf.set(_SQL_ON_FILES, "false")
+    return session
 
 
 def read_only_sql(spark: SparkSession, text: str) -> DataFrame:
     """All rows of a single query, lazily.
 
     Spark's own grammar decides what a query is: the text is placed inside a subquery,
-    where any statement that writes, and any second statement, is a syntax error. Only
-    tables and views can be named, not files by path, and the analysed plan is searched
-    for expressions that call into the JVM, so neither comments nor literals matter.
-    EXPLAIN is refused, since plans of views over raw tables hold their salt.
+    where any statement that writes, and any second statement, is a syntax error. It runs in
+    a copy of the session whose function registry lacks the functions that call into the JVM
+    and where only tables and views can be named, not files by path, so neither comments nor
+    literals matter and nothing has to be searched for. Statements that describe run there
+    too. EXPLAIN is refused, since plans of views over raw tables hold their salt.
     """
     text = text.strip().rstrip(";")
     word = _LEADING_WORD.match(text)
-    if word and word.group(1).lower() in DESCRIBING:
-        return spark.sql(text)
-    before = spark.conf.get(_SQL_ON_FILES, "true")
-    spark.conf.set(_SQL_ON_FILES, "false")
-    try:
-        result = spark.sql(f"SELECT * FROM (\n{text}\n)")
-    finally:
-        spark.conf.set(_SQL_ON_FILES, before)
-    if _calls_into_jvm(result._jdf.queryExecution().analyzed()):
-        raise NotReadOnly("functions that call into the JVM are not allowed")
-    return result
-
-
-def _items(sequence) -> list:
-    return [sequence.apply(i) for i in range(sequence.size())]
-
-
-def _calls_into_jvm(node) -> bool:
-    """Whether a plan or expression, or anything below it, calls a method by reflection."""
-    waiting = [node]
-    while waiting:
-        node = waiting.pop()
-        name = node.getClass().getSimpleName()
-        if name in UNSAFE_EXPRESSIONS:
-            return True
-        waiting += _items(node.children())
-        # What a node holds besides its children: expressions, plans of subqueries and views.
-        waiting += _items(node.innerChildren())
-        if hasattr_jvm(node, "expressions"):
-            waiting += _items(node.expressions())
-        if "Subquery" in name and hasattr_jvm(node, "plan"):
-            waiting.append(node.plan())
-    return False
-
-
-def hasattr_jvm(node, method: str) -> bool:
-    return any(m.getName() == method and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+    describing = word and word.group(1).lower() in DESCRIBING
+    return _guarded(spark).sql(text if describing else f"SELECT * FROM (\n{text}\n)")
 
 
 def run_sql(spark: SparkSession, text: str, limit: int) -> dict:
@@ -79,7 +54,7 @@ def run_sql(spark: SparkSession, text: str, limit: int) -> dict:
     ``{"error": message}`` for refused and failing statements."""
     try:
         return bounded_records(read_only_sql(spark, text), limit)
-    except (NotReadOnly, PySparkException) as error:
+    except PySparkException as error:
         return {"error": str(error)}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import as_identifier, date_offset, patient_key, to_cost
 from veilframe.functions.dates import SLASHED_DATES
 from veilframe.functions.identifiers import PATIENT_KEY_HEX
-from veilframe.operators.joins import KEY
+from veilframe.operators.joins import KEY, has_id
 from veilframe.operators.transforms import _Input, deidentify_patients
 from veilframe.sources.schemas import ENCOUNTER_COLUMNS
 
@@ -32,9 +32,11 @@ def _totals(encounters: DataFrame, dates: bool) -> DataFrame:
     )
 
 
-def _attach(patients: DataFrame, totals: DataFrame) -> DataFrame:
+def _attach(patients: DataFrame, totals: DataFrame, link_missing: bool) -> DataFrame:
     profiles = patients.groupBy(*PROFILE).agg(F.count(F.lit(1)).alias("copies"))
     copies = F.col("copies")
+    if not link_missing:
+        totals = totals.where(has_id(patients, totals))
     return profiles.join(totals, KEY, "left").select(
         *PROFILE,
         F.coalesce(F.col("total_encounters") * copies, F.lit(0)).alias("total_encounters"),
@@ -43,7 +45,9 @@ def _attach(patients: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def clinical_summary(patients: DataFrame, encounters: DataFrame, dates: bool = True) -> DataFrame:
+def clinical_summary(
+    patients: DataFrame, encounters: DataFrame, dates: bool = True, link_missing: bool = False
+) -> DataFrame:
     """Encounter count, cost and first and last dates for each patient profile.
 
     Both sides are aggregated before they meet: encounters to one row a key, patients
@@ -53,9 +57,10 @@ def clinical_summary(patients: DataFrame, encounters: DataFrame, dates: bool = T
 
     Times are the ``yyyy-MM-dd`` texts of de-identified encounters. They are compared as
     dates, which Spark aggregates by hashing, where text would have to be sorted first;
-    pass ``dates=False`` for tables with other texts.
+    pass ``dates=False`` for tables with other texts. Encounters without an id belong to no
+    patient, unless ``link_missing`` gives them to the patients without one.
     """
-    return _attach(patients, _totals(encounters, dates))
+    return _attach(patients, _totals(encounters, dates), link_missing)
 
 
 def clinical_summary_of_raw(
@@ -67,6 +72,7 @@ def clinical_summary_of_raw(
     date_formats: Sequence[str] = SLASHED_DATES,
     bad_cost: str = "raise",
     key_hex_len: int = PATIENT_KEY_HEX,
+    link_missing: bool = False,
 ) -> DataFrame:
     """``clinical_summary`` of the de-identified tables, straight from the raw ones.
 
@@ -111,7 +117,7 @@ def clinical_summary_of_raw(
     patients = deidentify_patients(
         raw_patients, salt, reference_date, null_token, date_formats, key_hex_len=key_hex_len
     )
-    return _attach(patients, totals)
+    return _attach(patients, totals, link_missing)
 
 
 def reduced_summary(summary: DataFrame) -> DataFrame:

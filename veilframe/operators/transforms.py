@@ -15,6 +15,7 @@ from veilframe.functions import (
     coarsen_zip,
     date_offset,
     encounter_key,
+    missing_id_key,
     note_or_default,
     parse_date,
     patient_key,
@@ -30,6 +31,7 @@ from veilframe.functions.dates import SLASHED_DATES, age_group, age_in_years
 from veilframe.functions.identifiers import ENCOUNTER_KEY_HEX, PATIENT_KEY_HEX
 from veilframe.functions.places import MIN_ZIP3_POPULATION, ZIP_MASK, ZIP_PREFIX_LEN
 from veilframe.functions.values import DEFAULT_VISIT_REASON
+from veilframe.operators.joins import KEY, MISSING_KEY
 from veilframe.sources.schemas import ENCOUNTER_COLUMNS, PATIENT_COLUMNS, resolve_columns
 
 UNKNOWN = "UNKNOWN"
@@ -94,7 +96,7 @@ def deidentify_patients(
         {"_offset": date_offset(raw_id, salt), "_age": age_in_years(birth_date, reference_date)}
     )
     return derived.select(
-        patient_key(raw_id, salt, key_hex_len).alias("patient_deid_key"),
+        _known_missing(patient_key(raw_id, salt, key_hex_len), salt, key_hex_len),
         "gender",
         "race",
         "ethnicity",
@@ -166,7 +168,7 @@ def deidentify_encounters(
     parties = ["provider_deid_key", "organization", "payer"] if keep_parties else []
     return visits.select(
         "encounter_id",
-        key.alias("patient_deid_key"),
+        _known_missing(key, salt, key_hex_len),
         F.date_add("_start", F.col("_offset")).cast("string").alias("start_time"),
         F.date_add("_stop", F.col("_offset")).cast("string").alias("end_time"),
         "encounter_class",
@@ -178,6 +180,12 @@ def deidentify_encounters(
     )
 
 
+def _known_missing(key: Column, salt: str, key_hex_len: int) -> Column:
+    """The key column, with a note beside its type which key stands for a missing id. Parquet
+    keeps such notes, so joins can tell strangers without an id from one patient."""
+    return key.alias(KEY, metadata={MISSING_KEY: missing_id_key(salt, key_hex_len)})
+
+
 def redact_column(df: DataFrame, column: str) -> DataFrame:
     """``redact_notes`` of one column, a projection for each step. The nested expression
     repeats earlier steps in each branch of later ones, which beside other columns makes

@@ -118,6 +118,7 @@ def export_bucketed(
         part = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_bucket))
         dealt = df.repartition(buckets * files_per_bucket, bucket, part)
         entry = {"folder": folder, "buckets": buckets, "key": key, "columns": df._jdf.schema().toDDL()}
+        entry["notes"] = {f.name: f.metadata for f in df.schema if f.metadata}
         writer = dealt.write.format("parquet").option("path", f"{root.rstrip('/')}/{folder}")
         writer.bucketBy(buckets, key).sortBy(key).saveAsTable(_catalog_name(entry))
         written[name] = entry
@@ -142,7 +143,10 @@ def _read(spark: SparkSession, root: str, entry: Mapping) -> DataFrame:
             f"CREATE TABLE IF NOT EXISTS `{name}` ({entry['columns']}) USING parquet CLUSTERED BY (`{entry['key']}`) "
             f"SORTED BY (`{entry['key']}`) INTO {int(entry['buckets'])} BUCKETS LOCATION '{location}'"
         )
-    return spark.table(name)
+    df = spark.table(name)
+    for column, note in entry["notes"].items():
+        df = df if df.schema[column].metadata == note else df.withMetadata(column, note)
+    return df
 
 
 def save_as_tables(tables: Mapping[str, DataFrame], database: str | None = None) -> None:
