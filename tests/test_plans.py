@@ -149,14 +149,6 @@ def test_filters_reach_the_files(spark, tmp_path):
     assert "TakeOrderedAndProject" in plan(spans.recent_spans(log, 5))
 
 
-def test_percentiles_share_one_shuffle(spark):
-    log = spark.range(10_000).select(
-        F.lit("work").alias("name"), (F.col("id") + 1.0).alias("duration_ms")
-    )
-    with settings(spark, autoBroadcastJoinThreshold="-1"):
-        assert "ReusedExchange" in final_plan(spans.latency_percentiles(log))
-
-
 def test_no_query_multiplies_rows_or_runs_python(spark):
     sf_dir = "/root/testdata/sf0.001"
     for name, query in catalog.queries().items():

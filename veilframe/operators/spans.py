@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
-from veilframe.operators.percentiles import exact_percentiles
+from veilframe.operators.percentiles import SKETCH_SIZE, exact_percentiles, merged, quantiles, sketch
 
 UNKNOWN_NAME = "unknown"
 RECENT_LIMIT = 10
@@ -124,6 +124,31 @@ def latency_percentiles(spans: DataFrame, probabilities: Sequence[float] = PERCE
     return wide.select("name", *percentile_columns(F.col("percentiles"), probabilities))
 
 
+def latency_sketches(spans: DataFrame, window: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """(window_start, window_end, name, invocations, sketch) by window of end time: kept as a
+    table, they answer for any span of time without the spans. Works on streams."""
+    return (
+        timed_spans(spans)
+        .groupBy(F.window("end_time", window).alias("window"), "name")
+        .agg(F.count(F.lit(1)).alias("invocations"), sketch("duration_ms", size).alias("sketch"))
+        .select(
+            F.col("window.start").alias("window_start"),
+            F.col("window.end").alias("window_end"),
+            "name",
+            "invocations",
+            "sketch",
+        )
+    )
+
+
+def merged_percentiles(sketches: DataFrame, probabilities: Sequence[float] = PERCENTILES) -> DataFrame:
+    """(name, invocations, values) of all the windows given, within ``percentiles.rank_error``."""
+    whole = sketches.groupBy("name").agg(
+        F.sum("invocations").alias("invocations"), merged("sketch").alias("sketch")
+    )
+    return whole.select("name", "invocations", quantiles("sketch", probabilities).alias("values"))
+
+
 def percentile_columns(values: Column, probabilities: Sequence[float]) -> list[Column]:
     """An array of percentiles as columns named like ``p95_ms``."""
     return [

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import functions as V
-from veilframe.operators import audit, conversations, joins, query, spans, summary, transforms
+from veilframe.operators import audit, conversations, joins, percentiles, query, spans, summary, transforms
 from veilframe.plans import roles
 from veilframe.plans.pipeline import run_pipeline
 from veilframe.plans.roles import REFERENCE_DATE, SALT
@@ -193,6 +193,30 @@ def join_match_counts(spark: SparkSession, d: str) -> DataFrame:
     return joins.join_counts(_patients(spark, d), _device_encounters(spark, d))
 
 
+def _some_without_id(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every seventh patient and every fifth encounter without a patient's id."""
+    patients, encounters = roles.patients(spark, d), roles.encounters(spark, d)
+    patients = patients.withColumn("Id", F.when(F.col("Id").cast("bigint") % 7 != 0, F.col("Id")))
+    encounters = encounters.withColumn("PATIENT", F.when(F.col("Id").cast("bigint") % 5 != 0, F.col("PATIENT")))
+    return (
+        transforms.deidentify_patients(patients, SALT, REFERENCE_DATE),
+        transforms.deidentify_encounters(encounters, SALT),
+    )
+
+
+def missing_id_join(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without an id meet nobody."""
+    joined = joins.join_encounters(*_some_without_id(spark, d))
+    return joined.select("patient_deid_key", "age_bucket", "encounter_id")
+
+
+def missing_id_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same join counted, and as it would be if null ids were one patient's."""
+    tables = _some_without_id(spark, d)
+    apart = joins.join_counts(*tables).withColumn("linked", F.lit(False))
+    return apart.unionAll(joins.join_counts(*tables, link_missing=True).withColumn("linked", F.lit(True)))
+
+
 def orphan_encounters(spark: SparkSession, d: str) -> DataFrame:
     """Orders of customers who are not on the list of suppliers."""
     listed = roles.table(spark, d, "supplier").select(F.col("s_suppkey").alias("Id"))
@@ -258,6 +282,14 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
     return audit.audit_tables(tables, notes, CHECKS, oldest_birth_dates=True, orphans=True)
 
 
+def audit_all_text(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers in any text column, and dates that are given but cannot be read."""
+    start = F.when(F.col("Id").cast("bigint") % 9 == 0, "some day").otherwise(F.col("START"))
+    visits = roles.encounters(spark, d).select("Id", start.alias("START"), "DESCRIPTION", "NOTES")
+    unread = {"visits": {"START": V.unreadable_date(F.col("START"))}}
+    return audit.audit_tables({"visits": visits}, audit.ALL_TEXT, CHECKS, unread=unread)
+
+
 def pseudonym_collisions(spark: SparkSession, d: str) -> DataFrame:
     """Keys cut to four hex digits, so that some do collide."""
     return audit.pseudonym_collisions(roles.table(spark, d, "orders"), "o_custkey", SALT, 4)
@@ -360,15 +392,28 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def latency_percentiles_approx(spark: SparkSession, d: str) -> DataFrame:
     """Whether each sketched percentile's exact rank is within the sketch's bound."""
     timed = spans.timed_spans(roles.spans(spark, d))
-    wanted = F.array(*[F.lit(float(p)) for p in spans.PERCENTILES])
     sketched = timed.groupBy("name").agg(spans.duration_sketch(spans.PERCENTILES).alias("values"))
+    return _within_bound(timed, sketched, 1 / spans.APPROX_ACCURACY)
+
+
+def latency_sketch_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sketches stored, read back and merged: whether percentiles of the whole time are
+    within the bound of one sketch."""
+    path = _scratch(spark, "sketches")
+    log = roles.spans(spark, d)
+    spans.latency_sketches(log, "1 day").write.parquet(path)
+    merged = spans.merged_percentiles(spark.read.parquet(path))
+    return _within_bound(spans.timed_spans(log), merged, percentiles.rank_error())
+
+
+def _within_bound(timed: DataFrame, sketched: DataFrame, bound: float) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in spans.PERCENTILES])
     each = sketched.select("name", F.explode(F.arrays_zip(wanted.alias("p"), "values")).alias("z"))
     each = each.select("name", F.col("z.p").alias("p"), F.col("z.values").alias("sketched"))
     ranks = timed.join(each, "name").groupBy("name", "p").agg(
         F.avg((F.col("duration_ms") < F.col("sketched")).cast("int")).alias("below"),
         F.avg((F.col("duration_ms") <= F.col("sketched")).cast("int")).alias("up_to"),
     )
-    bound = 1 / spans.APPROX_ACCURACY
     within = (F.col("below") <= F.col("p") + bound) & (F.col("up_to") >= F.col("p") - bound)
     return ranks.select("name", "p", within.alias("within_bound"))
 
@@ -550,6 +595,21 @@ def span_log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def span_log_compaction(spark: SparkSession, d: str) -> DataFrame:
+    """A log of many small files, some lines cut off, compacted between two appends: spans by
+    name and unreadable lines, as before."""
+    path = _scratch(spark, "compaction")
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("span_id"), F.col("event_type").alias("name")))
+    cut = F.when(F.col("event_id") % 7 == 0, F.expr("substring(line, 1, length(line) - 2)")).otherwise(F.col("line"))
+    events = roles.table(spark, d, "events").select("event_id", line.alias("line"))
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).repartition(12).select(cut).write.mode("append").text(path)
+        span_log.compact_log(spark, path)
+    good = span_log.read_spans(spark, path).groupBy("name").agg(F.count(F.lit(1)).alias("spans"))
+    bad = span_log.corrupt_spans(spark, path).agg(F.count(F.lit(1)).alias("spans"))
+    return good.unionAll(bad.select(F.lit("unreadable").alias("name"), "spans"))
+
+
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events as a file stream. The braces make the path a pattern, which may name a
     single file as well as a directory."""
@@ -559,10 +619,19 @@ def _events_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_latency(spark: SparkSession, d: str) -> DataFrame:
     """Windowed latency kept up to date by a stream over the events."""
-    root = _scratch(spark, "latency")
+    root, keys = _scratch(spark, "latency"), ("window_start", "window_end", "name")
     live = span_stream.windowed_latency(roles.as_spans(_events_stream(spark, d)), "1 day")
-    span_stream.replace_table(live, f"{root}/table", f"{root}/checkpoint", drain=True).awaitTermination()
-    return _naive(spark.read.parquet(f"{root}/table"))
+    span_stream.upsert_table(live, f"{root}/table", f"{root}/checkpoint", keys, drain=True).awaitTermination()
+    return _naive(span_stream.read_upserts(spark, f"{root}/table", keys))
+
+
+def stream_unique_spans(spark: SparkSession, d: str) -> DataFrame:
+    """A log that delivers every span twice, read once each."""
+    root = _scratch(spark, "unique")
+    live = roles.as_spans(_events_stream(spark, d))
+    unique = span_stream.unique_spans(live.unionAll(live)).select("span_id", "name")
+    span_stream.append_to_table(unique, f"{root}/table", f"{root}/checkpoint", drain=True).awaitTermination()
+    return spark.read.parquet(f"{root}/table")
 
 
 def stream_failed_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -601,6 +670,8 @@ def queries() -> dict[str, Query]:
         patient_encounter_join,
         patient_device_join,
         join_match_counts,
+        missing_id_join,
+        missing_id_counts,
         orphan_encounters,
         clinical_summary,
         clinical_summary_of_raw,
@@ -612,6 +683,7 @@ def queries() -> dict[str, Query]:
         pii_scan,
         page_pii_scan,
         audit_report,
+        audit_all_text,
         pseudonym_collisions,
         missing_patient_ids,
         read_only_sql,
@@ -636,6 +708,7 @@ def queries() -> dict[str, Query]:
         latency_summary,
         latency_percentiles,
         latency_percentiles_approx,
+        latency_sketch_merge,
         latest_user_message,
         intent_tags,
         diagnostic_intents,
@@ -645,7 +718,9 @@ def queries() -> dict[str, Query]:
         csv_encounters,
         csv_to_store,
         span_log_roundtrip,
+        span_log_compaction,
         stream_latency,
+        stream_unique_spans,
         stream_failed_spans,
         stream_deid_encounters,
     ]

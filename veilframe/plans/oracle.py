@@ -169,6 +169,10 @@ AUDIT_ROWS = [
     *audited("raw_encounters", "notes", []),
 ]
 
+SOME_WITHOUT_ID = f"""{RAW_PATIENTS}, {RAW_ENCOUNTERS},
+    known_patients AS (SELECT * REPLACE (CASE WHEN id::BIGINT % 7 <> 0 THEN id END AS id) FROM raw_patients),
+    known_encounters AS (SELECT * REPLACE (CASE WHEN id::BIGINT % 5 <> 0 THEN patient END AS patient)
+        FROM raw_encounters)"""
 DEID_ENCOUNTERS = f"""WITH {ENCOUNTERS}
     SELECT * EXCLUDE (provider_deid_key, organization, payer) FROM deid_encounters"""
 DEID_DEVICES = f"WITH {DEVICES} SELECT * FROM device_encounters"
@@ -220,7 +224,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT COUNT(*) AS merged_rows, COUNT(encounter_id) AS matched_rows,
                 COUNT(DISTINCT p.patient_deid_key) FILTER (WHERE encounter_id IS NOT NULL)
                     AS matched_patients
+                ,(SELECT COUNT(*) FROM customer WHERE c_custkey IS NULL) AS patients_without_id
+                ,(SELECT COUNT(*) FROM events WHERE user_id IS NULL) AS encounters_without_id
             FROM deid_patients p LEFT JOIN device_encounters e ON p.patient_deid_key = e.patient_deid_key""",
+        "missing_id_join": f"""WITH {SOME_WITHOUT_ID}
+            SELECT {key("COALESCE(p.id, 'nan')")} AS patient_deid_key, {BUCKET} AS age_bucket,
+                CASE WHEN e.id IS NOT NULL THEN {encounter_id("e.id")} END AS encounter_id
+            FROM known_patients p LEFT JOIN known_encounters e ON p.id = e.patient""",
+        "missing_id_counts": f"""WITH {SOME_WITHOUT_ID}, people AS (SELECT id, COUNT(*) AS copies FROM known_patients GROUP BY id),
+                visits AS (SELECT patient, COUNT(*) AS n FROM known_encounters GROUP BY patient)
+            SELECT CAST(SUM(copies * COALESCE(n, 1)) AS BIGINT) AS merged_rows,
+                CAST(SUM(copies * COALESCE(n, 0)) AS BIGINT) AS matched_rows, COUNT(n) AS matched_patients,
+                (SELECT COUNT(*) FROM known_patients WHERE id IS NULL) AS patients_without_id,
+                (SELECT COUNT(*) FROM known_encounters WHERE patient IS NULL) AS encounters_without_id, linked
+            FROM (SELECT linked, copies, n FROM people CROSS JOIN (VALUES (true), (false)) AS m(linked)
+                LEFT JOIN visits ON id = patient OR (linked AND id IS NULL AND patient IS NULL)) GROUP BY linked""",
         "orphan_encounters": f"""SELECT {key("o_custkey")} AS patient_deid_key, COUNT(*) AS encounters
             FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY o_custkey""",
         "clinical_summary": SUMMARY,
@@ -240,6 +258,17 @@ def oracle_sql() -> dict[str, str]:
         "pii_scan": scan("documents", "text"),
         "page_pii_scan": scan("pages", "html"),
         "audit_report": f"WITH {PATIENTS}, {ENCOUNTERS} " + "\nUNION ALL ".join(AUDIT_ROWS),
+        "audit_all_text": f"""WITH {RAW_ENCOUNTERS}, visits AS (SELECT id, description, notes,
+                CASE WHEN id::BIGINT % 9 = 0 THEN 'some day' ELSE strftime(start, '%Y-%m-%d') END AS start
+                FROM raw_encounters)
+            SELECT 'visits' AS "table", 'forbidden_column' AS "check", CAST(NULL AS VARCHAR) AS "column",
+                0 AS violations, COUNT(*) AS total_rows FROM visits
+            UNION ALL SELECT 'visits', 'unreadable', 'START', COUNT(*) FILTER (id::BIGINT % 9 = 0), COUNT(*) FROM visits
+            UNION ALL """ + "\nUNION ALL ".join(
+            f"""SELECT 'visits', '{check}', '{label}', {pii_rows(column, check)}, COUNT(*) FROM visits"""
+            for label, column in (("Id", "id"), ("START", "start"), ("DESCRIPTION", "description"), ("NOTES", "notes"))
+            for check in CHECKS
+        ),
         "pseudonym_collisions": f"""SELECT CAST(SUM(ids) AS BIGINT) AS raw_ids, COUNT(*) AS pseudonyms,
                 CAST(COALESCE(SUM(ids) FILTER (WHERE ids > 1), 0) AS BIGINT) AS colliding_ids
             FROM (SELECT {key("o_custkey", digits=4)} AS k, COUNT(DISTINCT o_custkey) AS ids
@@ -277,6 +306,12 @@ def oracle_sql() -> dict[str, str]:
         "latency_percentiles_approx": """SELECT name, p, true AS within_bound FROM
             (SELECT DISTINCT event_type AS name FROM events WHERE value > 0),
             (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS p)""",
+        "latency_sketch_merge": """SELECT name, p, true AS within_bound FROM
+            (SELECT DISTINCT event_type AS name FROM events WHERE value > 0),
+            (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS p)""",
+        "span_log_compaction": """SELECT CASE WHEN event_id % 7 = 0 THEN 'unreadable' ELSE event_type END AS name,
+            COUNT(*) AS spans FROM events GROUP BY 1""",
+        "stream_unique_spans": f"WITH {SPANS} SELECT span_id, name FROM spans",
         "recent_spans": f"""WITH {SPANS} SELECT {SPAN_SUMMARY} FROM (
             SELECT * FROM spans ORDER BY end_time DESC, span_id DESC LIMIT 25)""",
         "trace_details": f"""WITH {SPANS} SELECT * FROM spans WHERE trace_id = '{TRACE_ID}'""",

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from veilframe.sources.commits import CommitLog, Folder
 from veilframe.sources.schemas import SPAN, SPAN_TYPED
 
 # Fixed value: ISO-8601 with microseconds and a numeric zone.
 ISO_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 CORRUPT = "_corrupt_record"
+# Below a log, hidden from readers of the folder itself: rewritten files, and which they replace.
+_COMPACTED, _COMPACTIONS = "_compacted", "_compactions"
 
 
 def parse_lines(lines: DataFrame, schema: StructType = SPAN) -> DataFrame:
@@ -40,7 +45,7 @@ def parse_arrays(files: DataFrame, schema: StructType = SPAN) -> DataFrame:
 
 def _parsed(spark: SparkSession, path: str, array_file: bool, schema: StructType) -> DataFrame | None:
     try:
-        lines = spark.read.text(path, wholetext=array_file)
+        lines = spark.read.text(path if array_file else _log_files(spark, path), wholetext=array_file)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -111,3 +116,52 @@ def finish_spans(ended: DataFrame) -> DataFrame:
 def append_spans(spans: DataFrame, path: str) -> None:
     """Add files to a log; earlier files are never rewritten, so writers need no lock."""
     spans.write.mode("append").option("timestampFormat", ISO_TIMESTAMP).json(path)
+
+
+def _compactions(spark: SparkSession, path: str) -> CommitLog:
+    return CommitLog(spark, f"{path.rstrip('/')}/{_COMPACTIONS}")
+
+
+def _appended(spark: SparkSession, path: str) -> list[str]:
+    return sorted(name for name in Folder(spark, path).names() if not name.startswith(("_", ".")))
+
+
+def _log_files(spark: SparkSession, path: str) -> list[str]:
+    """What makes up a log now: its folder, or after a compaction the rewritten files and those
+    appended since. One commit says which, so that no span is seen twice or not at all."""
+    state = _compactions(spark, path).current()
+    if not state:
+        return [path]
+    root, replaced = path.rstrip("/"), set(state["replaced"])
+    fresh = [name for name in _appended(spark, path) if name not in replaced]
+    return [f"{root}/{name}" for name in (*state["folders"], *fresh)]
+
+
+def compact_log(spark: SparkSession, path: str, bytes_per_file: int = 128 << 20) -> int:
+    """Rewrites the many small files of a log into few and returns how many it replaced.
+
+    Writers go on appending meanwhile, and readers need not wait: the new files are hidden until
+    a commit puts them in the place of the old ones. Those are deleted by the next compaction,
+    when readers that listed them are done. Lines are copied as they are, unreadable ones too.
+    """
+    log, root = _compactions(spark, path), path.rstrip("/")
+    before = log.current() or {"folders": [], "replaced": []}
+    files = Folder(spark, path)
+    old = _log_files(spark, path)
+    fresh = [name for name in _appended(spark, path) if name not in set(before["replaced"])]
+    if len(fresh) < 2:
+        return 0
+    sizes = spark.read.format("binaryFile").load(old).agg(F.sum("length")).first()[0] or 0
+    made = f"{_COMPACTED}/{uuid.uuid4().hex}"
+    lines = spark.read.text(old).repartition(max(1, -(-sizes // bytes_per_file)))
+    lines.write.text(f"{root}/{made}")
+
+    def replace(state: dict) -> dict:
+        if (state or before) != before:
+            raise RuntimeError(f"{path} is being compacted by another job")
+        return {"folders": [made], "replaced": fresh}
+
+    log.commit(replace)
+    for name in (*before["replaced"], *before["folders"]):
+        files.delete(name)
+    return len(fresh)
