@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.spans import failed_spans, latency_summary, stack_traces
 from veilframe.operators.transforms import deidentify_encounters
+from veilframe.plans import pipeline
 from veilframe.plans.pipeline import run_pipeline
 from veilframe.session import shared_folder
 from veilframe.sources import spans, store, tabular
@@ -182,3 +183,36 @@ def test_transform_runs_on_streams(spark, salt, inputs, tmp_path):
 
 def test_shared_folder_is_the_clusters(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_unreadable_dates_are_counted(spark, salt, inputs, tmp_path):
+    (tmp_path / "patients.csv").write_text(PATIENTS_CSV.replace("1932-02-10", "long ago"))
+    (tmp_path / "encounters.csv").write_text(ENCOUNTERS_CSV.replace("2024-01-10T12:00:00Z", "later"))
+    log = str(tmp_path / "log")
+    for partitioned in (False, True):
+        done = run_pipeline(spark, *inputs, str(tmp_path / "s"), salt, span_log=log, partitioned=partitioned)
+        assert done.unreadable_dates == 2
+    stages = {r.name: r.attributes for r in spans.read_spans(spark, log).collect()}
+    assert stages["deidentify_patients"]["unreadable_dates"] == "1"
+    assert stages["deidentify_encounters"]["unreadable_dates"] == "1"
+    stored = store.open_store(spark, str(tmp_path / "s"), [store.PATIENTS, store.ENCOUNTERS])
+    assert not any(c.startswith("_") for df in stored.values() for c in df.columns)
+
+
+def test_people_are_counted_in_the_writing_pass(spark, salt, tmp_path):
+    """Estimates within their bound, and people of several runs counted once."""
+    for part in range(2):
+        rows = spark.range(part * 2000, part * 2000 + 6000).selectExpr("CAST(id AS STRING) AS Id", "'F' AS GENDER")
+        rows.unionAll(rows).write.option("header", True).csv(str(tmp_path / f"p{part}"))
+        (tmp_path / "e.csv").write_text(ENCOUNTERS_CSV)
+        inputs = (str(tmp_path / f"p{part}"), str(tmp_path / "e.csv"))
+        done = run_pipeline(spark, *inputs, str(tmp_path / "s"), salt, span_log=str(tmp_path / "log"))
+        assert done.processed_patients == 12_000
+        assert abs(done.unique_patients - 6000) <= pipeline.DISTINCT_ERROR * 6000
+        assert abs(done.unique_pseudonyms - 6000) <= pipeline.DISTINCT_ERROR * 6000
+    whole = pipeline.distinct_over_runs(spans.read_spans(spark, str(tmp_path / "log")), pipeline.PEOPLE_SKETCH).first()
+    assert whole.runs == 2 and abs(whole.distinct_values - 8000) <= pipeline.DISTINCT_ERROR * 8000
+    exact = run_pipeline(spark, *inputs, str(tmp_path / "s"), salt, exact_distinct=True)
+    assert (exact.unique_patients, exact.unique_pseudonyms) == (6000, 6000)
+    none = pipeline.distinct_over_runs(spans.read_spans(spark, str(tmp_path / "nothing")), pipeline.PEOPLE_SKETCH)
+    assert tuple(none.first()) == (0, 0)

@@ -26,6 +26,7 @@ from veilframe.functions import (
     suppress_small_zip,
     to_cost,
     to_label,
+    unreadable_date,
 )
 from veilframe.functions.dates import SLASHED_DATES, age_group, age_in_years
 from veilframe.functions.identifiers import ENCOUNTER_KEY_HEX, PATIENT_KEY_HEX
@@ -54,10 +55,10 @@ class _Input:
         """The column as a date; null if absent. Typed columns need no parsing."""
         if not self.has(logical):
             return F.lit(None).cast("date")
-        typed = isinstance(
-            self._types[self._names[logical]], DateType | TimestampType | TimestampNTZType
-        )
-        return self.get(logical).cast("date") if typed else parse_date(self.get(logical), formats)
+        return self.get(logical).cast("date") if self.is_typed(logical) else parse_date(self.get(logical), formats)
+
+    def is_typed(self, logical: str) -> bool:
+        return isinstance(self._types[self._names[logical]], DateType | TimestampType | TimestampNTZType)
 
     def label(self, logical: str, absent: str, null_token: str) -> Column:
         return to_label(self.get(logical), null_token) if self.has(logical) else F.lit(absent)
@@ -70,11 +71,13 @@ def deidentify_patients(
     null_token: str | None = None,
     date_formats: Sequence[str] = SLASHED_DATES,
     key_hex_len: int = PATIENT_KEY_HEX,
+    with_metrics: bool = False,
 ) -> DataFrame:
     """Ten safe columns; names, numbers, contacts and anything unlisted are left out.
 
     Null labels become ``UNKNOWN``; pass ``null_token="nan"`` to have them spelled the
-    way a stringified missing cell is.
+    way a stringified missing cell is. ``with_metrics`` adds ``METRIC_COLUMNS``, from which
+    the pass that writes the table counts people and unreadable dates before it drops them.
     """
     raw = _Input(df, PATIENT_COLUMNS)
     token = UNKNOWN if null_token is None else null_token
@@ -91,6 +94,7 @@ def deidentify_patients(
         raw.label("city", UNKNOWN, token).alias("city"),
         raw.label("state", UNKNOWN, token).alias("state"),
         (raw.get("zip") if raw.has("zip") else F.lit("")).alias("_zip"),
+        *_unread(raw, ("birth_date", "death_date"), date_formats, with_metrics),
     )
     derived = parsed.withColumns(
         {"_offset": date_offset(raw_id, salt), "_age": age_in_years(birth_date, reference_date)}
@@ -106,9 +110,27 @@ def deidentify_patients(
         "city",
         "state",
         coarsen_zip(F.col("_zip")).alias("coarsened_zip"),
+        *_metrics(raw_id, salt, with_metrics),
     )
 
 
+# A digest of the raw id no shorter than its hash, so that people can be counted when their
+# pseudonyms collide, and the number of dates in the row that are given but cannot be read.
+METRIC_COLUMNS = ("_person", "_unread")
+
+
+def _metrics(raw_id: Column, salt: str, wanted: bool) -> list[Column]:
+    return [patient_key(raw_id, salt, 64).alias("_person"), F.col("_unread")] if wanted else []
+
+
+def _unread(raw: _Input, dates: Sequence[str], formats: Sequence[str], wanted: bool) -> list[Column]:
+    if not wanted:
+        return []
+    texts = [d for d in dates if raw.has(d) and not raw.is_typed(d)]
+    cells = [unreadable_date(raw.get(d), formats).cast("bigint") for d in texts]
+    return [sum(cells, F.lit(0).cast("bigint")).alias("_unread")]
+
+
 def deidentify_encounters(
     df: DataFrame,
     salt: str,
@@ -120,12 +142,13 @@ def deidentify_encounters(
     encounter_hex_len: int = ENCOUNTER_KEY_HEX,
     encounter_salt: str | None = None,
     keep_parties: bool = False,
+    with_metrics: bool = False,
 ) -> DataFrame:
     """Nine safe columns, dates moved by the patient's own offset, notes redacted.
 
     Keys are computed, not looked up, so there is no join unless ``mapping`` (raw_id,
     patient_deid_key) overrides some of them. ``keep_parties`` adds the provider's
-    pseudonym and the organization and payer as they are.
+    pseudonym and the organization and payer as they are; ``with_metrics`` as for patients.
     """
     raw = _Input(df, ENCOUNTER_COLUMNS)
     token = UNKNOWN if null_token is None else null_token
@@ -149,6 +172,7 @@ def deidentify_encounters(
         note_or_default(text("notes"), raw.label("description", DEFAULT_VISIT_REASON, reason_token)).alias(
             "_note"
         ),
+        *_unread(raw, ("start", "stop"), date_formats, with_metrics),
     ]
     if keep_parties:
         columns += [
@@ -177,6 +201,7 @@ def deidentify_encounters(
         "cost",
         F.col("_note").alias("clinical_notes"),
         *parties,
+        *_metrics(patient, salt, with_metrics),
     )
 
 

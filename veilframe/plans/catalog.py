@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilframe import functions as V
 from veilframe.operators import audit, conversations, joins, percentiles, query, spans, summary, transforms
 from veilframe.plans import roles
-from veilframe.plans.pipeline import run_pipeline
+from veilframe.plans.pipeline import DISTINCT_ERROR, PEOPLE_SKETCH, distinct_over_runs, run_pipeline, write_logged
 from veilframe.plans.roles import REFERENCE_DATE, SALT
 from veilframe.session import shared_folder
 from veilframe.sources import spans as span_log
@@ -544,7 +544,8 @@ def pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
     """What a run of the job reports, and the status its log has of each stage."""
     root = _scratch(spark, "counts")
     done = run_pipeline(
-        spark, *_csv_inputs(spark, d, root), f"{root}/store", SALT, f"{root}/spans", REFERENCE_DATE, key_hex_len=16
+        spark, *_csv_inputs(spark, d, root), f"{root}/store", SALT, f"{root}/spans", REFERENCE_DATE, key_hex_len=16,
+        exact_distinct=True,
     )
     names = ("processed_patients", "unique_patients", "unique_pseudonyms", "processed_encounters", "merged_rows",
              "matched_rows", "matched_patients")
@@ -555,6 +556,21 @@ def pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def people_over_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Three overlapping shares of the patients written with a sketch each, and their union:
+    whether each estimate is within the bound."""
+    root, patients = _scratch(spark, "runs"), roles.patients(spark, d)
+    share = F.col("Id").cast("bigint") % 4
+    for run in range(3):
+        some = patients.where((share == run) | (share == run + 1))
+        table = transforms.deidentify_patients(some, SALT, REFERENCE_DATE, with_metrics=True)
+        write_logged(spark, table, f"{root}/store", store.PATIENTS, f"{root}/spans")
+    whole = distinct_over_runs(span_log.read_spans(spark, f"{root}/spans"), PEOPLE_SKETCH).first()
+    people = patients.agg(F.count_distinct("Id")).first()[0]
+    within = abs(whole.distinct_values - people) <= DISTINCT_ERROR * people
+    return spark.range(1).select(F.lit(whole.runs).alias("runs"), F.lit(within).alias("within_bound"))
+
+
 def failure_span(spark: SparkSession, d: str) -> DataFrame:
     """A job that meets a cost cell with personal data: its error spans, free of that."""
     root = _scratch(spark, "failure")
@@ -697,6 +713,7 @@ def queries() -> dict[str, Query]:
         csv_bad_rows,
         input_check,
         pipeline_counts,
+        people_over_runs,
         failure_span,
         recent_spans,
         trace_details,

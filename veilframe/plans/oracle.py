@@ -301,6 +301,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT unnest(['processed_encounters', 'matched_rows']), (SELECT COUNT(*) FROM orders)
             UNION ALL SELECT 'merged_rows', (SELECT COUNT(*) FROM customer LEFT JOIN orders ON c_custkey = o_custkey)
             UNION ALL SELECT 'matched_patients', (SELECT COUNT(DISTINCT o_custkey) FROM orders)""",
+        "people_over_runs": """SELECT 3 AS runs, COUNT(*) > 0 AS within_bound FROM customer""",
         "failure_span": """SELECT unnest(['deidentify_encounters', 'pipeline_failure']) AS name,
             'SparkRuntimeException: USER_RAISED_EXCEPTION' AS status_description, false AS quotes_data""",
         "latency_percentiles_approx": """SELECT name, p, true AS within_bound FROM

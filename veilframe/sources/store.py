@@ -51,6 +51,7 @@ def _stage(
     table: str,
     partition_by: Sequence[str] = (),
     observe: tuple[Observation, Sequence[Column]] | None = None,
+    drop: Sequence[str] = (),
 ) -> dict:
     """Writes a table nobody sees yet.
 
@@ -63,7 +64,7 @@ def _stage(
         df = df.hint("rebalance", *partition_by)
     if observe is not None:
         df = df.observe(observe[0], *observe[1])
-    writer = df.write
+    writer = df.drop(*drop).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root.rstrip('/')}/{folder}")
@@ -76,9 +77,11 @@ def write_table(
     table: str,
     partition_by: Sequence[str] = (),
     observe: tuple[Observation, Sequence[Column]] | None = None,
+    drop: Sequence[str] = (),
 ) -> str:
-    """Replace one table and return its new folder. ``observe`` computes metrics on the way."""
-    written = _stage(df, root, table, partition_by, observe)
+    """Replace one table and return its new folder. ``observe`` computes metrics on the way,
+    from columns that may be dropped after it."""
+    written = _stage(df, root, table, partition_by, observe, drop)
     _put_in_force(df.sparkSession, root, {table: written})
     return f"{root.rstrip('/')}/{written['folder']}"
 
