@@ -467,10 +467,42 @@ def test_one_of_each_group_stays(make):
     docs = make([(1, a), (2, a), (3, b), (3, b), (4, None), (5, ""), (None, b)], extra=True)
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4"]
     assert simhash.keep_first(docs.limit(0)).collect() == []
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(make):
+    """A unique text is never lost with a copy of the same id, and a copy without id goes."""
+    texts = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abc"}
+    rows = [(0, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "c"), (2, "c"), (None, "b"), (1, "b")]
+    kept = simhash.keep_first(make([(i, texts[c]) for i, c in rows], extra=True)).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in kept) == [(0, "a"), (1, "b"), (2, "c")]
+    assert {r.fingerprint for r in kept} == {"x3"}
+
+
+def test_one_row_of_each_component_stays(make):
+    """Beside brute force over fingerprints, with ids that are null, repeated and in no order."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            copy[rng.randrange(150)] = "other"
+            texts += [" ".join(copy)] * rng.randint(1, 2)
+    rows = [(rng.choice([None, rng.randint(0, 30)]), t) for t in [*texts, *ODD]]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    links = [(i, j) for j in range(len(rows)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    groups = collections.defaultdict(list)
+    for row, root in zip(rows, union_find(len(rows), links)):
+        groups[root].append(row)
+    found = [(r.doc_id, r.text) for r in simhash.keep_first(make(rows)).collect()]
+    assert len(found) == len(groups)
+    for members in groups.values():
+        least = min((i is None, i or 0) for i, _ in members)
+        assert sum((i is None, i or 0) == least and (i, t) in found for i, t in set(members)) >= 1
+
+
 # 10
 
 

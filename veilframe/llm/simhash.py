@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veilframe.llm.components import LINK, connected_components, find_roots
 from veilframe.llm.storage import Workspace
@@ -267,19 +268,37 @@ def near_duplicates(
     )
 
 
-def keep_first(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, in all their columns.
+def _with_fingerprints(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(doc, fingerprint): every row whole, as a struct, since ``docs`` may have any names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch["text"]):
+                bits = majority_bits(*shingle_hashes(LOWER[chunk.data], chunk.offsets, words))
+                columns = [batch["doc"][chunk.rows], pa.array(bits.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "fingerprint"])
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, F.col(f"`{text_col}`").alias("text"))
+    schema = StructType([StructField("doc", docs.schema), StructField("fingerprint", LongType())])
+    return rows.mapInArrow(run, schema)
+
 
-    Rows that share an id count as one document: they go if any of them does, and one of
-    them stays otherwise. Rows without an id are kept, as nothing tells which one should.
+def keep_first(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``, in all its columns: that of the least id, null ids
+    last. Every row is a document of its own, also where ids are null or repeated: of rows with
+    the least id any one, but one, stays. Rows are numbered when they are stored with their
+    fingerprints, so what goes is told by that number alone.
     """
     work = Workspace(docs.sparkSession, "simhash-keep")
-    found = work.store(near_duplicates(docs, words, max_bits, id_col, text_col))
-    own = docs[f"`{id_col}`"]
-    others = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("other")).distinct()
-    kept = docs.join(others, own == others["other"], "left_anti")
-    repeated = found.groupBy(F.col(id_col).alias("again")).count().where("count > 1 AND again IS NOT NULL")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, own == repeated["again"], "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, own == repeated["again"], "left_anti").unionAll(once)
+    rows = work.store(_with_fingerprints(docs, words, text_col).withColumn("nth", F.monotonically_increasing_id()))
+    own = F.col(f"doc.`{id_col}`")
+    place = F.struct(own.isNull().alias("unnamed"), own.alias("id"), F.col("nth").alias("nth"))
+    distinct = work.store(rows.groupBy("fingerprint").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")))
+    links = fingerprint_links(distinct.select("fingerprint"), work, max_bits)
+    roots = connected_components(links, work).select(F.col("node").alias("fingerprint"), "root")
+    grouped = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    several = grouped.groupBy("root").agg(F.min("least").alias("stays"), F.sum("n").alias("rows")).where("rows > 1")
+    stays = grouped.join(several, "root").select("fingerprint", F.col("stays.nth").alias("stays"))
+    others = rows.select("fingerprint", "nth").join(stays, "fingerprint").where("nth != stays").select("nth")
+    return rows.join(others, "nth", "left_anti").select("doc.*")
