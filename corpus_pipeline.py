@@ -15,7 +15,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that an earlier place has as well or nearly so."""
-    return line_dedup.drop_lines(docs).drop("_n_lines", "_n_removed")
+    return line_dedup.drop_lines(docs, counts=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -605,3 +605,31 @@ def test_line_dedup_tells_rows_of_one_id_apart(make):
 def test_line_dedup_keeps_one_of_lines_at_one_place(make):
     texts = [r.text for r in line_dedup.drop_lines(make([(None, "same\na"), (None, "same\nb"), (5, "c\nd")])).collect()]
     assert sorted("\n".join(texts).split("\n")) == ["a", "b", "c", "d", "same"]
+
+
+def test_line_counts_beside_columns_of_their_name(make):
+    docs = make(["same line here\nown", "same line here"]).selectExpr("*", "7 AS _n_lines", "8 AS __n_removed")
+    cleaned = line_dedup.drop_lines(docs)
+    assert cleaned.columns == [*docs.columns, "___n_lines", "___n_removed"]
+    assert sorted(tuple(r)[2:] for r in cleaned.collect()) == [
+        (7, 8, 1, 1),
+        (7, 8, 2, 0),
+    ]
+    assert line_dedup.drop_lines(docs, counts=False).columns == docs.columns
+
+
+def test_similar_links_connect_what_all_pairs_do():
+    """Families of near copies, of texts at 0.5 to 0.9 and of short ones, in one meeting."""
+    rng = random.Random(11)
+    texts = ["", "a", "short", "short"]
+    for family in range(6):
+        base = "".join(rng.choice("abcdefgh ij") for _ in range(300))
+        for _ in range(40):
+            text = list(base)
+            for _ in range(rng.randint(0, 12)):
+                text[rng.randrange(300)] = "XYZ"[family % 3]
+            texts.append("".join(text))
+    sets = [line_dedup.shingle_set(t, 10) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if line_dedup._similar(sets[i], sets[j], 0.8)]
+    links = line_dedup.similar_links(texts, 10, 0.8)
+    assert union_find(len(texts), links) == union_find(len(texts), pairs) and len(links) < len(texts)

@@ -1,9 +1,16 @@
 """Removal of lines that repeat, exactly or nearly, anywhere in a corpus.
 
 Lines are compared by the sets of their character shingles. MinHash signatures from one
-permutation, banded for high recall, propose pairs; the exact Jaccard similarity decides;
-links make components, and of each component the first line stays. Equal lines are one
-class from the start. Bands, pairs, links and components all stay in tables.
+permutation, banded for high recall, put lines into buckets; the exact Jaccard similarity
+of lines that share one decides; links make components, and of each component the first
+line stays. Equal lines are one class from the start, and a text is parsed once for its
+classes, places and bands.
+
+Lines that are connected through buckets are a family. A family, where it is small enough
+for one task, meets there once, whatever the number of buckets its lines share; in larger
+families each bucket meets, and of larger buckets each pair of bounded parts. So every pair
+that shares a bucket is compared, no join makes pairs, and tasks emit links, at most one a
+line. Bands, families, links and components all stay in tables.
 """
 
 from __future__ import annotations
@@ -25,11 +32,18 @@ SHINGLE = 10
 SIMILARITY = 0.8
 # At the threshold, a pair shares a band with probability 1 - (1 - 0.8^4)^13 = 0.999.
 ROWS, BANDS = 4, 13
-# In buckets up to this size lines that are still apart are paired without a look at their
-# shingles first.
-SMALL_BUCKET = 8
-# Shingle sets a task remembers while it verifies pairs.
+# Families, and buckets of larger families, up to so many lines and characters are compared
+# whole. Beyond that they are cut into parts; the results are the same.
+TOGETHER = 2048
+CHARS_TOGETHER = 8 << 20
+# Up to so many lines, comparing sets one by one is cheaper than counting by matrices.
+FEW = 24
+# Columns of the matrices; more shingles than that share columns, and sets decide.
+COLUMNS = 8192
+BLOCK = 512
+# Shingle sets a task remembers while it compares lines, and line hashes it remembers having sent.
 KNOWN_SETS = 256
+REMEMBERED = 1 << 20
 # The bit map of lines whose texts are needed: two megabytes.
 SKETCH_BITS = 1 << 24
 
@@ -141,42 +155,56 @@ def band_keys(table: np.ndarray, rows: int) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int64)
 
 
-def _bands(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch["text"], CHUNK):
-                lines = Lines(chunk)
-                own = lines.distinct()
-                if len(own):
-                    table = signatures(lines.whole, lines.left[own], lines.right[own], shingle, rows * bands)
-                    keys = band_keys(table, rows).reshape(-1)
-                    columns = [pa.array(keys), pa.array(np.repeat(lines.hash[own], bands))]
-                    yield pa.RecordBatch.from_arrays(columns, ["band", "line"])
+class _Unsent:
+    """Which lines a task has not sent before, as far as it remembers."""
+
+    def __init__(self):
+        self._sent: set[int] = set()
+
+    def among(self, lines: Lines) -> np.ndarray:
+        own = lines.distinct()
+        if len(self._sent) > REMEMBERED:
+            self._sent.clear()
+        hashes = lines.hash[own].tolist()
+        new = np.fromiter((h not in self._sent for h in hashes), bool, len(hashes))
+        self._sent.update(hashes)
+        return own[new]
 
-    return docs.mapInArrow(run, "band bigint, line bigint")
 
+def _places(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
+    """(line, id, mark, number, chars, bands): where each line stands. Its bands come with the
+    first place a task meets it at, other places have none."""
 
-def _occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsent = _Unsent()
         for batch in batches:
             for chunk in chunks(batch["text"], CHUNK):
                 lines = Lines(chunk)
-                row = pa.array(lines.row)
+                own = unsent.among(lines)
+                row, sizes = pa.array(lines.row), np.zeros(len(lines.hash) + 1, np.int32)
+                keys, chars = np.zeros(0, np.int64), lines.right - lines.left
+                if len(own):
+                    own = np.sort(own)
+                    table = signatures(lines.whole, lines.left[own], lines.right[own], shingle, rows * bands)
+                    keys = band_keys(table, rows).reshape(-1)
+                    sizes[own + 1] = bands
                 columns = [pa.array(lines.hash), *[batch[c][chunk.rows].take(row) for c in ("id", "mark")]]
-                columns.append(pa.array(lines.number.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(columns, ["line", "id", "mark", "number"])
+                columns += [pa.array(lines.number.astype(np.int32)), pa.array(chars.astype(np.int64))]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(keys)))
+                yield pa.RecordBatch.from_arrays(columns, ["line", "id", "mark", "number", "chars", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "mark", "text").mapInArrow(run, f"line bigint, id {kind}, mark bigint, number int")
+    schema = f"line bigint, id {kind}, mark bigint, number int, chars bigint, bands array<bigint>"
+    return docs.select("id", "mark", "text").mapInArrow(run, schema)
 
 
 def _line_texts(docs: DataFrame, sketch: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sketch, np.int64)
+        bits, unsent = np.frombuffer(sketch, np.int64), _Unsent()
         for batch in batches:
             for chunk in chunks(batch["text"], CHUNK):
                 lines = Lines(chunk)
-                own = lines.distinct()
+                own = unsent.among(lines)
                 place = lines.hash[own] & (SKETCH_BITS - 1)
                 own = own[(bits[place >> 6] >> (place & 63)) & 1 == 1]
                 cut = [lines.whole[a:b] for a, b in zip(lines.left[own].tolist(), lines.right[own].tolist())]
@@ -186,143 +214,207 @@ def _line_texts(docs: DataFrame, sketch: bytes) -> DataFrame:
     return docs.mapInArrow(run, "line bigint, text string")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups, from rows sorted by ``keys``. The last group of a batch waits
+    for the next one."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        key = [batch[k].to_numpy() for k in keys]
+        last = np.logical_and.reduce([k == k[-1] for k in key])
+        begin = int(np.argmax(last))
+        if begin:
+            yield batch.slice(0, begin)
+        held = batch.slice(begin)
+    if held is not None:
+        yield held
+
+
+def _edges(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where groups begin in a sorted batch, and its end."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        column = batch[k].to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.append(np.flatnonzero(new), batch.num_rows)
+
+
+def _members(places: DataFrame) -> DataFrame:
+    """(band, line, chars, least) of the lines of every bucket with two or more; ``least`` is
+    the bucket's least line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _runs(batches, ["band"]):
+            batch = batch.take(pa.array(_edges(batch, ["band", "line"])[:-1]))
+            edges = _edges(batch, ["band"])
+            sizes = np.diff(edges)
+            least = np.repeat(batch["line"].to_numpy()[edges[:-1]], sizes)
+            several = pa.array(np.repeat(sizes > 1, sizes))
+            columns = [*batch.columns, pa.array(least)]
+            yield pa.RecordBatch.from_arrays(columns, ["band", "line", "chars", "least"]).filter(several)
+
+    banded = places.select(F.explode("bands").alias("band"), "line", "chars")
+    ordered = banded.repartition("band").sortWithinPartitions("band", "line")
+    return ordered.mapInArrow(run, "band bigint, line bigint, chars bigint, least bigint")
+
+
+def _meetings(members: DataFrame, work: Workspace, together: int) -> DataFrame:
+    """(key, part, other, line): which lines are compared with which. Lines of equal key and
+    parts meet in one task: families by their least line, buckets of larger families by band,
+    and the parts of larger buckets two by two."""
+    stars = members.where("line != least").select(F.col("line").alias("node"), F.col("least").alias("root"))
+    families = connected_components(stars, work).select(F.col("node").alias("line"), F.col("root").alias("family"))
+    lines = members.select("line", "chars").distinct().join(families, "line", "left")
+    lines = work.store(lines.withColumn("family", F.coalesce("family", "line")))
+
+    def sized(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("total"))
+
+    fits = (F.col("n") <= together) & (F.col("total") <= CHARS_TOGETHER)
+    whole, part = F.lit(-1), F.col("part")
+    sizes = work.store(sized(lines, "family").withColumn("fits", fits))
+    met = lines.join(sizes.where("fits"), "family").select(
+        F.col("family").alias("key"), whole.alias("part"), whole.alias("other"), "line"
+    )
+    large = lines.join(sizes.where("NOT fits"), "family").select("line")
+    if large.isEmpty():
+        return met
+    buckets = work.store(members.join(large, "line", "left_semi").select("band", "line", "chars"))
+    sizes = sized(buckets, "band")
+    # Two parts meet at a time, so each has half of what fits.
+    n_parts = F.greatest(F.ceil(F.col("n") * 2 / F.lit(max(together, 2))), F.ceil(F.col("total") * 2 / F.lit(CHARS_TOGETHER)))
+    dealt = buckets.join(sizes.select("band", F.when(fits, 1).otherwise(n_parts).cast("int").alias("n_parts")), "band")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("line", "band"), F.col("n_parts")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    pairs = dealt.select(
+        F.col("band").alias("key"), F.least(part, "with").alias("part"), F.greatest(part, "with").alias("other"), "line"
+    )
+    return met.unionAll(pairs)
+
+
 def shingle_set(text: str, shingle: int) -> frozenset[str]:
     return frozenset(text[i : i + shingle] for i in range(max(len(text) - shingle + 1, 1)))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have at least that Jaccard similarity."""
+def _similar(one: frozenset, other: frozenset, similarity: float) -> bool:
+    if min(len(one), len(other)) < similarity * max(len(one), len(other)):
+        return False
+    both = len(one & other)
+    return both >= similarity * (len(one) + len(other) - both)
+
+
+def similar_links(texts: list[str], shingle: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) that connect the same texts as all pairs at least that similar, one a text
+    at most. Pairs within one component are not compared.
+
+    Of more than a few texts, products of matrices count the shingles of each pair. Columns that
+    several shingles share, beyond ``COLUMNS``, can only count too many; sets decide in the end.
+    """
+    n, links = len(texts), []
+    component = np.arange(n)
+
+    def join(a: int, b: int) -> None:
+        links.append((a, b))
+        component[component == component[b]] = component[a]
+
+    sets: dict[int, frozenset] = {}
+
+    def shingles(i: int) -> frozenset:
+        if i not in sets:
+            if len(sets) >= KNOWN_SETS:
+                sets.clear()
+            sets[i] = shingle_set(texts[i], shingle)
+        return sets[i]
+
+    def compare(a: int, others) -> None:
+        for b in others:
+            if component[a] != component[b] and _similar(shingles(a), shingles(b), similarity):
+                join(a, b)
+
+    if n <= FEW:
+        for a in range(n):
+            compare(a, range(a + 1, n))
+        return links
+    counts, sizes = _shingle_counts(texts, shingle)
+    share = similarity / (1 + similarity)
+    for top in range(0, n, BLOCK):
+        upper = counts[top : top + BLOCK]
+        for left in range(top, n, BLOCK):
+            least = share * (sizes[top : top + BLOCK, None] + sizes[None, left : left + BLOCK]) - 1e-6
+            likely = upper @ counts[left : left + BLOCK].T >= least
+            for i in np.flatnonzero(likely.any(axis=1)).tolist():
+                a = top + i
+                others = left + np.flatnonzero(likely[i])
+                compare(a, others[(others > a) & (component[others] != component[a])].tolist())
+    return links
+
+
+def _shingle_counts(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each text has each column's shingles, of those that several texts have, and the
+    number of shingles of each text."""
+    digest = xxhash.xxh64_intdigest
+    owners, hashes, sizes = [], [], np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        symbols = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        if len(symbols) < shingle:
+            own = np.array([digest(text)], np.uint64)
+        else:
+            own = np.unique(window_hashes(symbols, shingle))
+        sizes[i] = len(own)
+        owners.append(np.full(len(own), i, np.int32))
+        hashes.append(own)
+    owner = np.concatenate(owners)
+    _, column, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    place = np.cumsum(times > 1) - 1
+    width = max(min(int((times > 1).sum()), COLUMNS), 1)
+    counts = np.zeros((len(texts), width), np.float32)
+    np.add.at(counts, (owner[shared], place[column[shared]] % width), 1)
+    return counts, sizes
+
+
+def _links(meetings: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    keys = ["key", "part", "other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # Only the left line comes again and again; sets are large, so few are kept.
-            known: dict[int, frozenset[str]] = {}
-
-            def shingles(line: int, text: str) -> frozenset[str]:
-                if line not in known:
-                    if len(known) >= KNOWN_SETS:
-                        known.clear()
-                    known[line] = shingle_set(text, shingle)
-                return known[line]
-
-            left, right = batch["a"].to_pylist(), batch["b"].to_pylist()
-            near = []
-            for a, b, s, t in zip(left, right, batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
-                one, other = shingles(a, s), shingle_set(t, shingle)
-                if min(len(one), len(other)) < similarity * max(len(one), len(other)):
-                    near.append(False)
-                    continue
-                both = len(one & other)
-                near.append(both >= similarity * (len(one) + len(other) - both))
-            columns = [batch["b"], batch["a"]]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "root"]).filter(pa.array(near, pa.bool_()))
-
-    one = texts.select(F.col("line").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("line").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, LINK)
+        for batch in _runs(batches, keys):
+            edges = _edges(batch, keys).tolist()
+            lines = batch["line"].to_pylist()
+            node, root = [], []
+            for a, b in zip(edges, edges[1:]):
+                if b - a > 1:
+                    own = batch["text"].slice(a, b - a).to_pylist()
+                    for x, y in similar_links(own, shingle, similarity):
+                        node.append(lines[a + y])
+                        root.append(lines[a + x])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
+
+    met = meetings.join(texts, "line").select(*keys, "line", "text")
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINK)
 
 
 def line_links(
     docs: DataFrame,
+    places: DataFrame,
     work: Workspace,
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
-    rows: int = ROWS,
-    bands: int = BANDS,
-    smallest: int = SMALL_BUCKET,
+    smallest: int = TOGETHER,
 ) -> DataFrame:
     """(node, root): the components of the similarity links between distinct lines, without
-    the least line of each. ``docs`` has ``id`` and ``text``.
-
-    Only components matter, so a bucket's lines are first compared with its least line alone,
-    one pair a line. Every pair of a bucket that this leaves in two components is compared
-    too, but for pairs that cannot be similar enough: in buckets of more than ``smallest``
-    lines, pairs whose rarest shingles or numbers of shingles rule it out. ``smallest`` is a
-    matter of cost and changes no result.
-    """
-    texts = docs.select("text")
-    keyed = _bands(texts, shingle, rows, bands).repartition("band")
-    several = keyed.groupBy("band").agg(F.min("line").alias("least"), F.max("line").alias("most"))
-    several = several.where("least < most").select("band", "least")
-    members = work.store(keyed.join(several, "band").select("band", "least", "line").distinct())
-    stars = members.where("line != least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct()
-    pairs = work.store(stars)
+    the least line of each. ``docs`` has ``text``, and ``places`` is what ``_places`` made of it.
+    Families and buckets of more than ``smallest`` lines are compared in parts, which is a
+    matter of memory and changes no result but for pairs that share no bucket."""
+    members = work.store(_members(places))
+    meetings = work.store(_meetings(members, work, smallest))
     wanted = members.select("line").distinct()
-    found = work.store(_line_texts(texts, _sketch(wanted)).join(wanted, "line", "left_semi").dropDuplicates(["line"]))
-    links = work.store(_verified(pairs, found, shingle, similarity))
-    roots = connected_components(links, work)
-    own = members.join(roots.select(F.col("node").alias("line"), F.col("root").alias("own")), "line", "left")
-    heads = roots.select(F.col("node").alias("least"), F.col("root").alias("head"))
-    placed = own.join(heads, "least", "left").select(
-        "band", "line", F.coalesce("own", "line").alias("own"), F.coalesce("head", "least").alias("head")
-    )
-    # Buckets with two lines or more beside those of their least line's component.
-    open_ = placed.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") != F.col("head")).alias("apart")
-    )
-    open_ = open_.where("apart > 0 AND n > 2").select("band", (F.col("n") <= smallest).alias("small"))
-    open_ = work.store(placed.join(open_, "band").select("band", "small", "line", "own"))
-    if open_.isEmpty():
-        return roots
-    small, large = open_.where("small"), open_.where("NOT small").drop("small")
-    across = _across(small, ["band"]).unionAll(_likely(large, found, work, shingle, similarity)).distinct()
-    more = _verified(across, found, shingle, similarity)
-    return connected_components(links.unionAll(more), work)
-
-
-def _across(members: DataFrame, keys: list[str], condition: str = "true") -> DataFrame:
-    """(a, b): lines of different components that have equal ``keys``."""
-    other = members.select(*keys, *[F.col(c).alias(f"{c}_b") for c in members.columns if c not in keys])
-    both = members.join(other, keys).where(f"own < own_b AND {condition}")
-    return both.select(F.col("line").alias("a"), F.col("line_b").alias("b"))
-
-
-def _likely(members: DataFrame, texts: DataFrame, work: Workspace, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs of lines in one bucket, but in two components, that may be similar.
-
-    With the shingles of every line in one order, rarest first, two lines at the threshold
-    share one of their first n - ceil(similarity * n) + 1, and from the first shared one on
-    both have at least as many left as they must share.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            # The sets of so many lines at once; a line's is some ten times its text.
-            for start in range(0, batch.num_rows, KNOWN_SETS):
-                part = batch.slice(start, KNOWN_SETS)
-                sets = [
-                    np.unique(np.array([digest(s.encode()) for s in shingle_set(t, shingle)], np.uint64))
-                    for t in part["text"].to_pylist()
-                ]
-                sizes = [len(s) for s in sets]
-                columns = [
-                    pa.array(np.repeat(part["line"].to_numpy(), sizes)),
-                    pa.array(np.concatenate(sets).view(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["line", "shingle"])
-
-    lines = members.select("line").distinct()
-    shingles = work.store(texts.join(lines, "line", "left_semi").mapInArrow(run, "line bigint, shingle bigint"))
-    times = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
-    ordered = (
-        shingles.join(times, "shingle")
-        .groupBy("line")
-        .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("all"))
-        .withColumn("size", F.size("all"))
-    )
-    first = F.slice("all", F.lit(1), F.expr(f"size - CAST(ceil({similarity}D * size - 1e-9D) AS INT) + 1"))
-    prefix = (
-        ordered.select("line", "size", F.posexplode(first).alias("place", "one"))
-        .where("one.times > 1")
-        .select("line", "one.shingle", (F.col("size") - F.col("place")).alias("left"), "size")
-    )
-    prefix = work.store(members.join(prefix, "line"))
-    keys = ["band", "shingle"]
-    parted = prefix.groupBy(*keys).agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
-    prefix = prefix.join(parted.select(*keys), keys)
-    share = similarity / (1 + similarity)
-    return _across(prefix, keys, f"least(left, left_b) >= {share}D * (size + size_b) - 1e-9D")
+    texts = _line_texts(docs.select("text"), _sketch(wanted)).join(wanted, "line", "left_semi")
+    found = work.store(texts.dropDuplicates(["line"]))
+    return connected_components(work.store(_links(meetings, found, shingle, similarity)), work)
 
 
 def _sketch(lines: DataFrame) -> bytes:
@@ -350,27 +442,26 @@ def _equal_rows(rows: DataFrame, work: Workspace) -> DataFrame:
     return work.store(times.where("times > 1").select("id", "mark"))
 
 
-def _removals(docs: DataFrame, equal: DataFrame, work: Workspace, **settings) -> DataFrame:
+def _removals(
+    docs: DataFrame, equal: DataFrame, work: Workspace, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, **settings
+) -> DataFrame:
     """(id, mark, again, number): the lines to remove; ``again`` has those that equal rows
     lose after the first of them, which are all their lines."""
-    roots = line_links(docs, work, **settings).select(F.col("node").alias("line"), "root")
-    places = work.store(_occurrences(docs))
+    everywhere = work.store(_places(docs, shingle, rows, bands))
+    roots = work.store(line_links(docs, everywhere, work, shingle, **settings))
+    places = everywhere.select("line", "id", "mark", "number")
+    # Lines at several places, and lines linked to others; the rest stays where it is.
+    again = places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line")
+    linked = roots.select(F.col("node").alias("line"), "root")
+    heads = roots.select(F.col("root").alias("line")).distinct()
+    touched = again.unionAll(linked.select("line")).unionAll(heads).distinct().join(linked, "line", "left")
+    repeated = work.store(places.join(touched, "line").withColumn("root", F.coalesce("root", "line")))
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "number", "mark")
-    by_line = places.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    heads = roots.select(F.col("root").alias("line"), F.lit(True).alias("heads")).distinct()
-    joined = (
-        by_line.join(roots, "line", "left")
-        .join(heads, "line", "left")
-        .where("first != last OR root IS NOT NULL OR heads")
-        .select("line", "first", F.coalesce("root", "line").alias("root"))
-    )
-    repeated = work.store(joined)
-    firsts = repeated.groupBy("root").agg(F.min("first").alias("stays"))
-    named = repeated.join(firsts, "root").select("line", "stays")
+    firsts = repeated.groupBy("root").agg(F.min(place).alias("stays"))
     stays = F.col("stays.id").eqNullSafe(F.col("id"))
     for name in ("mark", "number"):
         stays &= F.col(f"stays.{name}") == F.col(name)
-    gone = places.join(named, "line").where(~stays).select("id", "mark", F.lit(False).alias("again"), "number")
+    gone = repeated.join(firsts, "root").where(~stays).select("id", "mark", F.lit(False).alias("again"), "number")
     if not equal.isEmpty():
         same = places["id"].eqNullSafe(equal["id"]) & (places["mark"] == equal["mark"])
         copies = places.join(equal, same, "left_semi")
@@ -395,9 +486,12 @@ def removed_lines(
     return gone.select(F.col("id").alias(id_col), "mark", "again", "number")
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, in all its columns and rows, and
-    ``_n_lines`` and ``_n_removed``. A null text stays null."""
+def drop_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, **settings
+) -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, in all its columns and rows. A null
+    text stays null. With ``counts`` there are two more columns, ``_n_lines`` and ``_n_removed``,
+    with another underscore before them as long as ``docs`` has such a column itself."""
     work = Workspace(docs.sparkSession, "lines")
     rows = _marked(docs, id_col, text_col)
     equal = _equal_rows(rows, work)
@@ -410,14 +504,23 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = _first_or_again(marked, equal, work)
     here = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_mark") == F.col("mark"))
     joined = marked.join(gone, here & (F.col("row_again") == F.col("again")), "left")
-    numbers, lines = F.col("gone"), F.split(text, "\n")
+    # A text is split in a projection of its own, once, and only where something goes.
+    numbers, lines = F.col("gone"), F.col("lines")
+    joined = joined.select("doc", "gone", F.when(numbers.isNotNull(), F.split(text, "\n")).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
     cleaned = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return joined.select(
-        *[F.when(numbers.isNull(), text).otherwise(cleaned).alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns],
-        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("_n_lines"),
-        F.when(numbers.isNull() | text.isNull(), 0).otherwise(F.size(numbers)).cast("bigint").alias("_n_removed"),
-    )
+    columns = [
+        F.when(lines.isNull(), text).otherwise(cleaned).alias(c) if c == text_col else F.col(f"doc.`{c}`")
+        for c in docs.columns
+    ]
+    if counts:
+        breaks = F.length(text) - F.length(F.translate(text, "\n", ""))
+        n_lines, n_removed = "_n_lines", "_n_removed"
+        while {n_lines, n_removed} & set(docs.columns):
+            n_lines, n_removed = f"_{n_lines}", f"_{n_removed}"
+        columns.append(F.coalesce(breaks + 1, F.lit(0)).cast("bigint").alias(n_lines))
+        columns.append(F.when(lines.isNull(), 0).otherwise(F.size(numbers)).cast("bigint").alias(n_removed))
+    return joined.select(*columns)
 
 
 def _first_or_again(rows: DataFrame, equal: DataFrame, work: Workspace) -> DataFrame:
