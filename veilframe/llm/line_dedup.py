@@ -48,7 +48,7 @@ REMEMBERED = 1 << 20
 SKETCH_BITS = 1 << 24
 
 # Bytes of text worked on at once; signatures take about eighty times as much memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -214,23 +214,22 @@ def _line_texts(docs: DataFrame, sketch: bytes) -> DataFrame:
     return docs.mapInArrow(run, "line bigint, text string")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Batches of whole groups, from rows sorted by ``keys``. The last group of a batch waits
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups, from rows sorted by ``key``. The last group of a batch waits
     for the next one."""
-    held: pa.RecordBatch | None = None
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if held is not None:
-            batch = pa.concat_batches([held, batch])
         if not batch.num_rows:
             continue
-        key = [batch[k].to_numpy() for k in keys]
-        last = np.logical_and.reduce([k == k[-1] for k in key])
-        begin = int(np.argmax(last))
-        if begin:
-            yield batch.slice(0, begin)
-        held = batch.slice(begin)
-    if held is not None:
-        yield held
+        keys = batch[key].to_numpy()
+        if held and keys[-1] == held[0][key][0].as_py():
+            held.append(batch)
+            continue
+        begin = int(np.searchsorted(keys, keys[-1]))
+        yield pa.concat_batches([*held, batch.slice(0, begin)])
+        held = [batch.slice(begin)]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _edges(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -248,7 +247,9 @@ def _members(places: DataFrame) -> DataFrame:
     the bucket's least line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches, ["band"]):
+        for batch in _runs(batches, "band"):
+            order = np.lexsort((batch["line"].to_numpy(), batch["band"].to_numpy()))
+            batch = batch.take(pa.array(order))
             batch = batch.take(pa.array(_edges(batch, ["band", "line"])[:-1]))
             edges = _edges(batch, ["band"])
             sizes = np.diff(edges)
@@ -258,7 +259,8 @@ def _members(places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["band", "line", "chars", "least"]).filter(several)
 
     banded = places.select(F.explode("bands").alias("band"), "line", "chars")
-    ordered = banded.repartition("band").sortWithinPartitions("band", "line")
+    # Spark sorts by one number alone much faster than by two.
+    ordered = banded.repartition("band").sortWithinPartitions("band")
     return ordered.mapInArrow(run, "band bigint, line bigint, chars bigint, least bigint")
 
 
@@ -378,11 +380,11 @@ def _shingle_counts(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndar
 
 
 def _links(meetings: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    keys = ["key", "part", "other"]
+    """Links between lines that meet. Should two meetings get one number, they are one meeting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches, keys):
-            edges = _edges(batch, keys).tolist()
+        for batch in _runs(batches, "meeting"):
+            edges = _edges(batch, ["meeting"]).tolist()
             lines = batch["line"].to_pylist()
             node, root = [], []
             for a, b in zip(edges, edges[1:]):
@@ -393,8 +395,9 @@ def _links(meetings: DataFrame, texts: DataFrame, shingle: int, similarity: floa
                         root.append(lines[a + x])
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
 
-    met = meetings.join(texts, "line").select(*keys, "line", "text")
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINK)
+    numbered = meetings.select(F.xxhash64("key", "part", "other").alias("meeting"), "line")
+    met = numbered.join(texts, "line").select("meeting", "line", "text")
+    return met.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(run, LINK)
 
 
 def line_links(
@@ -445,7 +448,7 @@ def _equal_rows(rows: DataFrame, work: Workspace) -> DataFrame:
 def _removals(
     docs: DataFrame, equal: DataFrame, work: Workspace, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, **settings
 ) -> DataFrame:
-    """(id, mark, again, number): the lines to remove; ``again`` has those that equal rows
+    """(id, mark, again, number), perhaps repeated: the lines to remove; ``again`` has those that equal rows
     lose after the first of them, which are all their lines."""
     everywhere = work.store(_places(docs, shingle, rows, bands))
     roots = work.store(line_links(docs, everywhere, work, shingle, **settings))
@@ -466,7 +469,7 @@ def _removals(
         same = places["id"].eqNullSafe(equal["id"]) & (places["mark"] == equal["mark"])
         copies = places.join(equal, same, "left_semi")
         gone = gone.unionAll(copies.select("id", "mark", F.lit(True).alias("again"), "number"))
-    return gone.distinct()
+    return gone
 
 
 def removed_lines(
@@ -483,7 +486,7 @@ def removed_lines(
     work = Workspace(docs.sparkSession, "lines")
     rows = _marked(docs, id_col, text_col)
     gone = _removals(rows, _equal_rows(rows, work), work, **settings)
-    return gone.select(F.col("id").alias(id_col), "mark", "again", "number")
+    return gone.distinct().select(F.col("id").alias(id_col), "mark", "again", "number")
 
 
 def drop_lines(
@@ -496,7 +499,7 @@ def drop_lines(
     rows = _marked(docs, id_col, text_col)
     equal = _equal_rows(rows, work)
     gone = _removals(rows, equal, work, **settings)
-    gone = gone.groupBy("id", "mark", "again").agg(F.collect_list("number").alias("gone"))
+    gone = gone.groupBy("id", "mark", "again").agg(F.collect_set("number").alias("gone"))
     # Columns stay inside of a struct, since ``docs`` may have any names.
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     id_, text = F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`")
@@ -514,7 +517,7 @@ def drop_lines(
         for c in docs.columns
     ]
     if counts:
-        breaks = F.length(text) - F.length(F.translate(text, "\n", ""))
+        breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
         n_lines, n_removed = "_n_lines", "_n_removed"
         while {n_lines, n_removed} & set(docs.columns):
             n_lines, n_removed = f"_{n_lines}", f"_{n_removed}"
