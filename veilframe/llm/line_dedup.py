@@ -38,8 +38,9 @@ TOGETHER = 2048
 CHARS_TOGETHER = 8 << 20
 # Up to so many lines, comparing sets one by one is cheaper than counting by matrices.
 FEW = 24
-# Columns of the matrices; more shingles than that share columns, and sets decide.
-COLUMNS = 8192
+# Columns of the matrices: half of them for the most frequent shingles, one each, half for the
+# others together, of which a line has few. Where that counts too many, sets decide.
+COLUMNS = 2048
 BLOCK = 512
 # Shingle sets a task remembers while it compares lines, and line hashes it remembers having sent.
 KNOWN_SETS = 256
@@ -299,7 +300,7 @@ def _meetings(members: DataFrame, work: Workspace, together: int) -> DataFrame:
 
 
 def shingle_set(text: str, shingle: int) -> frozenset[str]:
-    return frozenset(text[i : i + shingle] for i in range(max(len(text) - shingle + 1, 1)))
+    return frozenset([text[i : i + shingle] for i in range(max(len(text) - shingle + 1, 1))])
 
 
 def _similar(one: frozenset, other: frozenset, similarity: float) -> bool:
@@ -337,8 +338,10 @@ def similar_links(texts: list[str], shingle: int, similarity: float) -> list[tup
             if component[a] != component[b] and _similar(shingles(a), shingles(b), similarity):
                 join(a, b)
 
-    if n <= FEW:
-        for a in range(n):
+    # Most families are copies of one text: its links spare most of the comparisons below.
+    compare(0, range(1, n))
+    if n <= FEW or (component == component[0]).all():
+        for a in range(1, n):
             compare(a, range(a + 1, n))
         return links
     counts, sizes = _shingle_counts(texts, shingle)
@@ -346,6 +349,9 @@ def similar_links(texts: list[str], shingle: int, similarity: float) -> list[tup
     for top in range(0, n, BLOCK):
         upper = counts[top : top + BLOCK]
         for left in range(top, n, BLOCK):
+            met = component[[*range(top, min(top + BLOCK, n)), *range(left, min(left + BLOCK, n))]]
+            if (met == met[0]).all():
+                continue
             least = share * (sizes[top : top + BLOCK, None] + sizes[None, left : left + BLOCK]) - 1e-6
             likely = upper @ counts[left : left + BLOCK].T >= least
             for i in np.flatnonzero(likely.any(axis=1)).tolist():
@@ -367,16 +373,17 @@ def _shingle_counts(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndar
         else:
             own = np.unique(window_hashes(symbols, shingle))
         sizes[i] = len(own)
-        owners.append(np.full(len(own), i, np.int32))
+        owners.append(np.full(len(own), i))
         hashes.append(own)
     owner = np.concatenate(owners)
     _, column, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     shared = times[column] > 1
-    place = np.cumsum(times > 1) - 1
-    width = max(min(int((times > 1).sum()), COLUMNS), 1)
-    counts = np.zeros((len(texts), width), np.float32)
-    np.add.at(counts, (owner[shared], place[column[shared]] % width), 1)
-    return counts, sizes
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
+    half = COLUMNS // 2
+    place = np.where(rank < half, rank, half + rank % half)[column[shared]]
+    counts = np.bincount(owner[shared] * COLUMNS + place, minlength=len(texts) * COLUMNS)
+    return counts.reshape(-1, COLUMNS).astype(np.float32), sizes
 
 
 def _links(meetings: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
