@@ -631,5 +631,5 @@ def test_similar_links_connect_what_all_pairs_do():
             texts.append("".join(text))
     sets = [line_dedup.shingle_set(t, 10) for t in texts]
     pairs = [(i, j) for j in range(len(texts)) for i in range(j) if line_dedup._similar(sets[i], sets[j], 0.8)]
-    links = line_dedup.similar_links(texts, 10, 0.8)
+    links = line_dedup.similar_links(line_dedup.shingle_hashes(texts, 10), 0.8)
     assert union_find(len(texts), links) == union_find(len(texts), pairs) and len(links) < len(texts)

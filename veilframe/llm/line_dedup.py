@@ -310,41 +310,58 @@ def _similar(one: frozenset, other: frozenset, similarity: float) -> bool:
     return both >= similarity * (len(one) + len(other) - both)
 
 
-def similar_links(texts: list[str], shingle: int, similarity: float) -> list[tuple[int, int]]:
+def shingle_hashes(texts: list[str], shingle: int) -> list[np.ndarray]:
+    """The hashes of each text's shingles, some of them repeated, from one pass over all texts."""
+    hashes, start = [], 0
+    while start < len(texts):
+        end, chars = start, 0
+        while end < len(texts) and (end == start or chars + len(texts[end]) <= CHUNK):
+            chars += len(texts[end])
+            end += 1
+        slab = texts[start:end]
+        symbols = np.frombuffer("".join(slab).encode("utf-32-le", "replace"), np.uint32)
+        windows = window_hashes(symbols, shingle) if len(symbols) >= shingle else None
+        at = 0
+        for text in slab:
+            if len(text) < shingle:
+                hashes.append(np.array([xxhash.xxh64_intdigest(text)], np.uint64))
+            else:
+                hashes.append(windows[at : at + len(text) - shingle + 1].copy())
+            at += len(text)
+        start = end
+    return hashes
+
+
+def similar_links(hashes: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links (a, b) that connect the same texts as all pairs at least that similar, one a text
-    at most. Pairs within one component are not compared.
+    at most, from the texts' shingle hashes of 64 bits. Pairs within one component are not
+    compared.
 
     Of more than a few texts, products of matrices count the shingles of each pair. Columns that
-    several shingles share, beyond ``COLUMNS``, can only count too many; sets decide in the end.
+    several shingles share can only count too many; sets decide in the end.
     """
-    n, links = len(texts), []
+    n, links = len(hashes), []
     component = np.arange(n)
-
-    def join(a: int, b: int) -> None:
-        links.append((a, b))
-        component[component == component[b]] = component[a]
-
     sets: dict[int, frozenset] = {}
 
     def shingles(i: int) -> frozenset:
         if i not in sets:
             if len(sets) >= KNOWN_SETS:
                 sets.clear()
-            sets[i] = shingle_set(texts[i], shingle)
+            sets[i] = frozenset(hashes[i].tolist())
         return sets[i]
 
     def compare(a: int, others) -> None:
         for b in others:
             if component[a] != component[b] and _similar(shingles(a), shingles(b), similarity):
-                join(a, b)
+                links.append((a, b))
+                component[component == component[b]] = component[a]
 
-    # Most families are copies of one text: its links spare most of the comparisons below.
-    compare(0, range(1, n))
-    if n <= FEW or (component == component[0]).all():
-        for a in range(1, n):
+    if n <= FEW:
+        for a in range(n):
             compare(a, range(a + 1, n))
         return links
-    counts, sizes = _shingle_counts(texts, shingle)
+    counts, sizes = _shingle_counts(hashes)
     share = similarity / (1 + similarity)
     for top in range(0, n, BLOCK):
         upper = counts[top : top + BLOCK]
@@ -361,28 +378,19 @@ def similar_links(texts: list[str], shingle: int, similarity: float) -> list[tup
     return links
 
 
-def _shingle_counts(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingle_counts(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """How often each text has each column's shingles, of those that several texts have, and the
     number of shingles of each text."""
-    digest = xxhash.xxh64_intdigest
-    owners, hashes, sizes = [], [], np.zeros(len(texts))
-    for i, text in enumerate(texts):
-        symbols = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        if len(symbols) < shingle:
-            own = np.array([digest(text)], np.uint64)
-        else:
-            own = np.unique(window_hashes(symbols, shingle))
-        sizes[i] = len(own)
-        owners.append(np.full(len(own), i))
-        hashes.append(own)
-    owner = np.concatenate(owners)
-    _, column, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    own = [np.unique(h) for h in hashes]
+    sizes = np.array([len(h) for h in own])
+    owner = np.repeat(np.arange(len(own)), sizes)
+    _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     shared = times[column] > 1
     rank = np.empty(len(times), np.int64)
     rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
     half = COLUMNS // 2
     place = np.where(rank < half, rank, half + rank % half)[column[shared]]
-    counts = np.bincount(owner[shared] * COLUMNS + place, minlength=len(texts) * COLUMNS)
+    counts = np.bincount(owner[shared] * COLUMNS + place, minlength=len(own) * COLUMNS)
     return counts.reshape(-1, COLUMNS).astype(np.float32), sizes
 
 
@@ -393,13 +401,12 @@ def _links(meetings: DataFrame, texts: DataFrame, shingle: int, similarity: floa
         for batch in _runs(batches, "meeting"):
             edges = _edges(batch, ["meeting"]).tolist()
             lines = batch["line"].to_pylist()
+            hashes = shingle_hashes(batch["text"].to_pylist(), shingle)
             node, root = [], []
             for a, b in zip(edges, edges[1:]):
-                if b - a > 1:
-                    own = batch["text"].slice(a, b - a).to_pylist()
-                    for x, y in similar_links(own, shingle, similarity):
-                        node.append(lines[a + y])
-                        root.append(lines[a + x])
+                for x, y in similar_links(hashes[a:b], similarity):
+                    node.append(lines[a + y])
+                    root.append(lines[a + x])
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
 
     numbered = meetings.select(F.xxhash64("key", "part", "other").alias("meeting"), "line")
