@@ -273,6 +273,28 @@ def test_decontamination_against_plain_distance(spark, make):
         assert clean.columns == docs.columns
         assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {i for i, _ in expected}
     assert decontamination.contaminated(docs, table.limit(0)).collect() == []
+    assert decontamination.drop_contaminated(docs, table.limit(0)).count() == docs.count()
+    assert decontamination.contaminated(docs.limit(0), table, block_chars=100).collect() == []
+
+
+def test_decontamination_of_rows_that_share_an_id(spark, make):
+    item = "an item of the benchmark, long enough for some edits"
+    table = spark.createDataFrame([(1, item), (None, "another item without any id of its own")], "item_id bigint, text string")
+    docs = make([(1, f"x {item} y"), (1, "clean"), (1, f"x {item} y"), (None, "clean too"), (None, f"{item}!")])
+    for block in (decontamination.BLOCK_CHARS, 100):
+        rows = decontamination.contaminated(docs, table, block_chars=block).collect()
+        assert sorted((str(r.doc_id), r.item_id) for r in rows) == [("1", 1), ("1", 1), ("None", 1)]
+        clean = decontamination.drop_contaminated(docs, table, block_chars=block)
+        assert sorted(r.text for r in clean.collect()) == ["clean", "clean too"]
+
+
+def test_masks_hold_an_items_own_symbols():
+    rng = random.Random(5)
+    items = [(i, "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(100))) for i in range(500)]
+    matcher = decontamination.Matcher(items)
+    assert sum(masks.nbytes for _, masks in matcher._masks) < 1 << 20
+    spoilt = items[7][1][:50] + "x" + items[7][1][51:]
+    assert [hit[:3] for hit in matcher.find([f"before {items[3][1]} behind", spoilt])] == [(0, 3, 0), (1, 7, 1)]
 
 
 def test_short_items_are_found(spark, make):

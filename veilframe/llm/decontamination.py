@@ -4,6 +4,9 @@ An item of m characters may differ in k of them. Cut into k + 1 pieces, at least
 of any such occurrence is untouched, so an Aho-Corasick automaton over all pieces finds
 every candidate, and Myers' bit-parallel distance verifies it in the window around the hit.
 An item too short to differ at all (k = 0) must stand as whole words, not inside of others.
+
+Items come in blocks of bounded size, stored in the shared folder. A job holds one block and
+stores what it finds before the next begins, so neither driver nor tasks grow with the items.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.storage import Workspace
 from veilframe.llm.text import only
 
 # Characters of an item that may differ, as a share of all.
 ERROR_RATE = 0.1
 # Every item is looked for that has a character besides white space.
 SHORTEST_ITEM = 1
-# Items are matched in blocks of about so many characters, which is what a task holds.
+# Items are matched in blocks of about so many characters, which is what a task holds. An item
+# counts as some characters more, for what is kept of each however short it is.
 BLOCK_CHARS = 1 << 20
+ITEM_CHARS = 64
 # Candidates verified at once.
 BATCH = 16384
 PAIR_BUCKETS = 512
@@ -66,7 +72,7 @@ class Matcher:
         if places:
             self._automaton.make_automaton()
         symbols = sorted(set("".join(t for _, t in self.items)))
-        self._code = np.zeros(0x110000, np.int16)
+        self._code = np.zeros(0x110000, np.int32)
         self._code[[ord(s) for s in symbols]] = np.arange(1, len(symbols) + 1)
         self._symbols = len(symbols)
         self._masks = [self._pattern_masks(t) for _, t in self.items]
@@ -75,13 +81,15 @@ class Matcher:
             codes = self._coded(text)
             self._pairs[number] = np.bincount(self._pair(codes), minlength=PAIR_BUCKETS)
 
-    def _pattern_masks(self, text: str) -> np.ndarray:
-        """For each symbol (none of them first) the positions it has, 64 to a word."""
-        words = -(-len(text) // 64)
-        masks = np.zeros((self._symbols + 1, words), np.uint64)
-        for place, code in enumerate(self._coded(text).tolist()):
-            masks[code, place // 64] |= np.uint64(1 << (place % 64))
-        return masks
+    def _pattern_masks(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The item's own symbols in order, and for each the positions it has, 64 to a word;
+        one more row, the last, for all symbols it has not."""
+        codes = self._coded(text)
+        own, row = np.unique(codes, return_inverse=True)
+        place = np.arange(len(codes))
+        masks = np.zeros((len(own) + 1, -(-len(codes) // 64)), np.uint64)
+        np.bitwise_or.at(masks, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+        return own, masks
 
     def _coded(self, text: str) -> np.ndarray:
         """A number for each symbol: from 1 for those of items, 0 for any other."""
@@ -130,7 +138,7 @@ class Matcher:
         """(windows, begins, length, budget): symbols around each case, a column each."""
         numbers = np.array([c[2] for c in cases])
         budget, length = self._budget[numbers], self._length[numbers]
-        windows = np.zeros((len(cases), int((length + 2 * budget).max())), np.int16)
+        windows = np.zeros((len(cases), int((length + 2 * budget).max())), np.int32)
         begins = np.array([c[3] for c in cases]) - budget
         for row, ((_, coded, _, _), a, n) in enumerate(zip(cases, begins.tolist(), (length + 2 * budget).tolist())):
             cut = coded[max(a, 0) : a + n]
@@ -155,7 +163,7 @@ class Matcher:
     def _verify(self, cases: list, best: dict) -> None:
         by_words = defaultdict(list)
         for case in cases:
-            by_words[self._masks[case[2]].shape[1]].append(case)
+            by_words[self._masks[case[2]][1].shape[1]].append(case)
         for words, same in by_words.items():
             for start in range(0, len(same), BATCH):
                 self._verify_cases(same[start : start + BATCH], words, best)
@@ -163,8 +171,17 @@ class Matcher:
     def _verify_cases(self, cases: list, words: int, best: dict) -> None:
         windows, begins, length, budget = self._windows(cases)
         items, which = np.unique([c[2] for c in cases], return_inverse=True)
-        masks = np.stack([self._masks[i] for i in items])
-        distance, end = _least_distance(masks, which, np.ascontiguousarray(windows.T), length, words)
+        own = [self._masks[i][0] for i in items]
+        masks = np.concatenate([self._masks[i][1] for i in items])
+        # Where each item's rows begin, the last of them for symbols it has not.
+        sizes = np.array([len(codes) + 1 for codes in own])
+        begin = np.cumsum(sizes) - sizes
+        span = self._symbols + 1
+        known = np.concatenate([codes + np.int64(i) * span for i, codes in enumerate(own)])
+        wanted = windows + (which * np.int64(span))[:, None]
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        rows = np.where(known[at] == wanted, at + which[:, None], (begin + sizes - 1)[which][:, None])
+        distance, end = _least_distance(masks, np.ascontiguousarray(rows.T), length, words)
         for row in np.flatnonzero(distance <= budget).tolist():
             number, _, item, _ = cases[row]
             found = (int(distance[row]), int(begins[row] + end[row] + 1))
@@ -174,11 +191,12 @@ class Matcher:
 
 
 def _least_distance(
-    masks: np.ndarray, which: np.ndarray, windows: np.ndarray, length: np.ndarray, words: int
+    masks: np.ndarray, rows: np.ndarray, length: np.ndarray, words: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Myers' algorithm for many pairs of an item and a window at once: the least edit
-    distance of the whole item to any part of the window, and where the first such ends."""
-    n = windows.shape[1]
+    distance of the whole item to any part of the window, and where the first such ends.
+    ``rows`` has a column a pair: for each symbol of the window its row in ``masks``."""
+    n = rows.shape[1]
     one, full = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
     plus = [np.full(n, full) for _ in range(words)]
     minus = [np.zeros(n, np.uint64) for _ in range(words)]
@@ -186,8 +204,8 @@ def _least_distance(
     last_bit = ((length - 1) % 64).astype(np.uint64)
     score = length.copy()
     least, end = score.copy(), np.full(n, -1)
-    for step in range(len(windows)):
-        equal = masks[which, windows[step]]
+    for step in range(len(rows)):
+        equal = masks[rows[step]]
         carry = np.zeros(n, np.uint64)
         plus_in = minus_in = carry
         for w in range(words):
@@ -217,18 +235,23 @@ def _least_distance(
     return least, end
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple]]:
-    """The items in blocks of about ``block_chars``, however many there are; each block is
-    one bounded piece that every task holds while it reads the documents."""
-    rows = only(items, id_col, text_col).toDF("id", "text").where("text IS NOT NULL").distinct()
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // block_chars)
-    if n <= 1:
-        return [[(r.id, normalised(r.text)) for r in rows.collect()]] if n else []
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [
-        [(r.id, normalised(r.text)) for r in rows.where(block == b).collect()] for b in range(n)
-    ]
+class _Blocks:
+    """The items in ``n`` blocks, read one at a time. Several blocks are stored first, a
+    folder each, so that reading one reads nothing of the others."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str, block_chars: int, work: Workspace):
+        rows = only(items, id_col, text_col).toDF("id", "text").where("text IS NOT NULL").distinct()
+        size = rows.agg(F.sum(F.length("text") + F.lit(ITEM_CHARS))).first()[0] or 0
+        self.n = -(-size // block_chars)
+        if self.n > 1:
+            dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(self.n)))
+            rows = work.store(dealt, by="block")
+        self._rows = rows
+
+    def __iter__(self) -> Iterator[list[tuple]]:
+        for number in range(self.n):
+            rows = self._rows if self.n == 1 else self._rows.where(F.col("block") == number)
+            yield [(r.id, normalised(r.text)) for r in rows.select("id", "text").collect()]
 
 
 def contaminated(
@@ -273,11 +296,12 @@ def contaminated(
 
         return run
 
-    blocks = _item_blocks(items, item_id, item_text, block_chars) or [[]]
-    result = None
-    for block in blocks:
-        part = rows.mapInArrow(search(block), schema)
-        result = part if result is None else result.unionAll(part)
+    work = Workspace(docs.sparkSession, "decontamination")
+    blocks = _Blocks(items, item_id, item_text, block_chars, work)
+    if blocks.n <= 1:
+        result = rows.mapInArrow(search(next(iter(blocks), [])), schema)
+    else:
+        result = work.read_all([work.store(rows.mapInArrow(search(block), schema)) for block in blocks])
     return result.withColumnsRenamed({"id": id_col, "item": item_id})
 
 
@@ -310,6 +334,14 @@ def drop_contaminated(
 
         return run
 
-    for block in _item_blocks(items, item_id, item_text, block_chars):
+    work = Workspace(docs.sparkSession, "decontamination")
+    blocks = _Blocks(items, item_id, item_text, block_chars, work)
+    before = None
+    for number, block in enumerate(blocks, 1):
         docs = docs.mapInArrow(keep(block), docs.schema)
+        if number < blocks.n:
+            docs = work.store(docs)
+            if before is not None:
+                work.drop(before)
+            before = docs
     return docs
