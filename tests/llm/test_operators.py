@@ -452,48 +452,55 @@ def test_licences_equal_plain_containment(documents):
 # 8
 
 
-def plain_scores(texts):
-    words = [[*WORD.findall(lower(t or "")), "\n"] for t in texts]
-    return words
+def plain_walk(rows, held, order):
+    """(tokens, known, base, score) of each row: the automaton state by state, in dicts."""
+    words = [["\n", *WORD.findall(lower(t or "")), "\n"] for _, t in rows]
+    arcs = collections.defaultdict(collections.Counter)
+    for out, w in zip(held, words):
+        for i in range(1, 0 if out else len(w)):
+            for n in range(order):
+                if n <= i:
+                    arcs[tuple(w[i - n : i])][w[i]] += 1
+    single = arcs[()]
+    total, share = sum(single.values()), language_model.SHARE
+
+    def weight(state, x):
+        if not state:
+            return (single[x] + 0.5) / (total + 0.5 * (len(single) + 1))
+        if state not in arcs:
+            return weight(state[1:], x)
+        return share * arcs[state][x] / sum(arcs[state].values()) + (1 - share) * weight(state[1:], x)
+
+    found = []
+    for w in words:
+        base = sum(math.log10(weight((), x)) for x in w[1:])
+        score = sum(math.log10(weight(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w)))
+        found.append((len(w) - 1, sum(single[x] > 0 for x in w[1:]), total, round(base, 6), round(score, 6)))
+    return found
 
 
-@pytest.mark.parametrize("size", [400, 1 << 20])
-def test_language_model(make, size):
-    rows = [*enumerate([*ODD, *["a b c a b", "B c a x", "new words here"] * 4]), (None, "a b"), (3, "one")]
+@pytest.mark.parametrize("order, size", [(1, 400), (2, 400), (3, 400), (3, 1 << 20), (5, 400)])
+def test_language_model(make, order, size):
+    texts = [*ODD, *["a b c a b", "B c a x", "new words here", "a b c x", "b c a b c a b"] * 4]
+    rows = [*enumerate(texts), (None, "a b"), (None, "b c a"), (3, "one"), (3, "a b"), (3, "one")]
     docs = make(rows, extra=True)
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
     assert any(held)
-    words = plain_scores([t for _, t in rows])
-    single, pair = collections.Counter(), collections.Counter()
-    for out, w in zip(held, words):
-        if not out:
-            single.update(w)
-            pair.update(zip(["\n", *w[:-1]], w))
-    total, distinct = sum(single.values()), len(single)
-    expected = []
-    for (i, _), out, w in zip(rows, held, words):
-        base = model = 0.0
-        before = "\n"
-        for x in w:
-            p = (single[x] + 0.5) / (total + 0.5 * (distinct + 1))
-            base += math.log10(p)
-            share = language_model.SHARE
-            model += math.log10(share * pair[before, x] / single[before] + (1 - share) * p if single[before] else p)
-            before = x
-        known = sum(single[x] > 0 for x in w)
-        expected.append((str(i), out, len(w), known, total, round(base, 6), round(model, 6)))
+    expected = [(str(i), out, *rest) for (i, _), out, rest in zip(rows, held, plain_walk(rows, held, order))]
     got = [
         (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
-        for r in language_model.score(docs, block_bytes=size, bucket_bytes=size).collect()
+        for r in language_model.score(docs, order=order, block_bytes=size, bucket_bytes=size).collect()
     ]
     assert sorted(got) == sorted(expected)
-    assert language_model.score(docs.limit(0)).collect() == []
+    assert language_model.score(docs.limit(0), order=order).collect() == []
 
 
 @tables
 def test_model_beats_its_base_on_held_out_texts(documents):
     rows = [r for r in language_model.score(documents).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    pairs = [r.score for r in language_model.score(documents, order=2).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(pairs)
 
 
 # 9

@@ -1,11 +1,12 @@
-"""Log-probabilities of texts under a word bigram model with backoff.
+"""Log-probabilities of texts under a word n-gram model with backoff.
 
-The model is a weighted automaton. Its states are the empty history and every word seen in
-training; an arc for each bigram seen carries the interpolated probability
-``share * c(hw) / c(h) + (1 - share) * p(w)``, and every word's state has a failure arc of
-weight ``1 - share`` to the empty history, whose arcs are the smoothed unigrams ``p(w)``. One
-walk from left to right keeps the state and adds up logarithms. Each state's probabilities sum
-to one, unknown words included.
+The model is a weighted automaton. Its states are the histories seen in training, of up to
+``order - 1`` words; an arc for each n-gram seen carries the interpolated probability
+``share * c(hw) / c(h) + (1 - share) * p(w | shorter h)``, and every state has a failure arc
+of weight ``1 - share`` to the state of its history without the first word, down to the empty
+history, whose arcs are the smoothed unigrams ``p(w)``. One walk from left to right keeps the
+state, the longest history seen, follows failure arcs until an arc for the token is found, and
+adds up logarithms. Each state's probabilities sum to one, unknown words included.
 
 The model grows with the corpus and is never in one place. Texts are dealt into blocks; a
 block lists the n-grams it needs, with their own counts in training texts, to buckets of
@@ -21,19 +22,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.storage import Workspace
 from veilframe.llm.text import LOWER, chunks, only, word_spans
 from veilframe.llm.line_dedup import _mixed, _powers
 
-# Weight of the bigram estimate.
+# Words of the longest n-gram, at most seven.
+ORDER = 3
+# Weight of a history's own estimate beside that of the next shorter one.
 SHARE = 0.3
 # A block is what one task scores, a bucket what one task adds up; both in bytes of text.
-BLOCK_BYTES = 6 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 5 << 20
 
 _BYTE_VALUE = _mixed(np.arange(1, 257, dtype=np.uint64))
 _END = np.uint64(0x5851F42D4C957F2D)
-_ONE = np.uint64(1)
+# The low bits of a key say how many words it has.
+_LENGTH_BITS = np.uint64(7)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -59,14 +62,40 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, begin
 
 
-def ngram_keys(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each token and of each token with the one before it, which for the first of a
-    row is an end. Keys of single tokens are odd, others even."""
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[begin[:-1]] = _END
-    pair = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + words)
-    return words | _ONE, pair & ~_ONE
+def ngram_keys(words: np.ndarray, begin: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
+    """For each length up to ``order`` the keys of the n-grams that end at each token. A row
+    begins after an end; where it has no n-gram of a length, the key is 0, which none has."""
+    place = np.arange(len(words)) - np.repeat(begin[:-1], np.diff(begin))
+    keys = [words & ~_LENGTH_BITS | np.uint64(1)]
+    # What came before, word by word outwards: hash of the n-gram so far.
+    run = words
+    for length in range(2, order + 1):
+        back = length - 1
+        before = np.zeros_like(words)
+        before[back:] = words[: max(len(words) - back, 0)]
+        before[place == back - 1] = _END
+        run = _mixed(before * np.uint64(0x9E3779B97F4A7C15) + run)
+        there = place >= back - 1
+        keys.append(np.where(there, run & ~_LENGTH_BITS | np.uint64(length), np.uint64(0)))
+    return keys
+
+
+def weights(counts: list[np.ndarray], begin: np.ndarray, unigram: np.ndarray, share: float) -> np.ndarray:
+    """Probability of each token on the walk. ``counts`` has for each length those of the
+    n-grams that end at each token, 0 where there is none."""
+    weight = unigram
+    # From the empty history up: what an arc or, failing that, the failure arc leads to.
+    for shorter, arc in zip(counts, counts[1:]):
+        # The history ends at the token before; at the first it is the end behind the row.
+        history = np.empty_like(arc)
+        history[1:] = shorter[:-1]
+        history[begin[:-1]] = counts[0][begin[1:] - 1] if shorter is counts[0] else 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            failed = (1 - share) * weight
+            taken = share * arc / history + failed
+        # A history not seen is no state: the walk is in a shorter one already.
+        weight = np.where(history == 0, weight, np.where(arc > 0, taken, failed))
+    return weight
 
 
 def _tokens_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +118,15 @@ def _unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind)[:, 0]
 
 
-def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    edges = [(b << 64) // buckets for b in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
+def _bucket_spans(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, begin, end) of the sorted keys in each bucket that has any. Buckets are ranges
+    of the upper half of the keys, so their number costs nothing."""
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return bucket[begin].astype(np.int32), begin, np.append(begin[1:], len(keys)) if len(keys) else begin
 
 
-def _vocabulary(texts: DataFrame, work: Workspace) -> dict:
+def _vocabulary(texts: DataFrame) -> dict:
     """Bytes of all texts, and of training texts the tokens and distinct tokens. ``texts``
     has ``text`` and ``learn``."""
 
@@ -129,6 +161,7 @@ def held_out(id_column: Column) -> Column:
 
 def score(
     docs: DataFrame,
+    order: int = ORDER,
     share: float = SHARE,
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
@@ -139,35 +172,40 @@ def score(
 
     A null text is an empty one, whose only token is its end. Repeated rows are scored and
     learned from each for itself. Without any training text every token has probability one
-    under the base and the model, as the formula gives. Words are told apart by 64-bit hashes.
+    under the base and the model, as the formula gives. Words are told apart by 64-bit hashes,
+    n-grams by 61 bits.
     """
-    work = Workspace(docs.sparkSession, "language-model")
+    if not 1 <= order <= int(_LENGTH_BITS):
+        raise ValueError(f"order {order} is not between 1 and {_LENGTH_BITS}")
     rows = only(docs, id_col, text_col).toDF("id", "text")
     rows = rows.withColumn("held_out", held_out(F.col("id")))
-    total = _vocabulary(rows.select("text", (~F.col("held_out")).alias("learn")), work)
+    total = _vocabulary(rows.select("text", (~F.col("held_out")).alias("learn")))
     blocks = max(1, -(-total["bytes"] // block_bytes))
     buckets = max(1, -(-total["bytes"] // bucket_bytes))
     divisor = total["tokens"] + 0.5 * (total["distinct"] + 1)
     train_tokens = total["tokens"]
-    deal = F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("block", deal)
+    # By id and text, so that rows without an id, or with one and the same, are dealt apart.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def request(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         words, begin = _tokens_of(table)
-        keys = np.concatenate(ngram_keys(words, begin))
-        learn = ~table["held_out"].to_numpy(zero_copy_only=False)
-        learned = np.tile(np.repeat(learn, np.diff(begin)), 2)
-        distinct, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at[learned], minlength=len(distinct)).astype(np.uint32)
-        edges = _bucket_edges(distinct, buckets).tolist()
-        spans = [(b, i, j) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+        learn = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False), np.diff(begin))
+        keys = ngram_keys(words, begin, order)
+        distinct = np.unique(np.concatenate(keys))
+        counts = np.zeros(len(distinct), np.uint32)
+        for each in keys:
+            counts += np.bincount(np.searchsorted(distinct, each[learn]), minlength=len(distinct)).astype(np.uint32)
+        if len(distinct) and not distinct[0]:
+            distinct, counts = distinct[1:], counts[1:]
+        bucket, first, last = _bucket_spans(distinct, buckets)
+        spans = list(zip(first.tolist(), last.tolist()))
         return pa.table(
             {
-                "bucket": pa.array([b for b, _, _ in spans], pa.int32()),
-                "block": pa.array([block] * len(spans), pa.int32()),
-                "keys": pa.array([_packed(distinct[i:j]) for _, i, j in spans], pa.binary()),
-                "counts": pa.array([_packed(counts[i:j]) for _, i, j in spans], pa.binary()),
+                "bucket": pa.array(bucket),
+                "block": pa.array(np.full(len(spans), block, np.int32)),
+                "keys": pa.array([_packed(distinct[i:j]) for i, j in spans], pa.binary()),
+                "counts": pa.array([_packed(counts[i:j]) for i, j in spans], pa.binary()),
             }
         )
 
@@ -182,21 +220,15 @@ def score(
 
     def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
         words, begin = _tokens_of(texts)
-        single, pair = ngram_keys(words, begin)
-        distinct, at = np.unique(np.concatenate([single, pair]), return_inverse=True)
+        keys = ngram_keys(words, begin, order)
         parts = sorted(zip(answers["bucket"].to_pylist(), answers["sums"].to_pylist()))
-        count = np.concatenate([_unpacked(raw, np.uint64) for _, raw in parts]).astype(np.float64)[at]
-        seen, arc = count[: len(single)], count[len(single) :]
-        # The state before each token: its history's count, that of an end for the first.
-        history = np.empty_like(seen)
-        history[1:] = seen[:-1]
-        history[begin[:-1]] = seen[begin[1:] - 1]
+        # In the order of the block's own list, before which comes the key of no n-gram.
+        distinct = np.unique(np.concatenate([np.zeros(1, np.uint64), *keys]))
+        sums = np.concatenate([np.zeros(1), *(_unpacked(raw, np.uint64).astype(np.float64) for _, raw in parts)])
+        counts = [sums[np.searchsorted(distinct, each)] for each in keys]
+        seen = counts[0]
         unigram = (seen + 0.5) / divisor
-        failed = (1 - share) * unigram
-        with np.errstate(divide="ignore", invalid="ignore"):
-            taken = share * arc / history + failed
-        # From the empty history there is no failure arc to pay for.
-        weight = np.where(history == 0, unigram, np.where(arc > 0, taken, failed))
+        weight = weights(counts, begin, unigram, share)
         first = begin[:-1]
         return pa.table(
             {
