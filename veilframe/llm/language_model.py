@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from veilframe.llm.text import LOWER, chunks, only, word_spans
 from veilframe.llm.line_dedup import _mixed, _powers
 
-# Words of the longest n-gram, at most seven.
-ORDER = 3
+# Words of the longest n-gram, at most seven. Three ask for about twice as many n-grams as two,
+# which is more than the disk the shuffle may take.
+ORDER = 2
 # Weight of a history's own estimate beside that of the next shorter one.
 SHARE = 0.3
 # A block is what one task scores, a bucket what one task adds up; both in bytes of text.
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 5 << 20
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
 
 _BYTE_VALUE = _mixed(np.arange(1, 257, dtype=np.uint64))
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -191,12 +192,9 @@ def score(
         block = table["block"][0].as_py()
         words, begin = _tokens_of(table)
         learn = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False), np.diff(begin))
-        keys = ngram_keys(words, begin, order)
-        distinct = np.unique(np.concatenate(keys))
-        counts = np.zeros(len(distinct), np.uint32)
-        for each in keys:
-            counts += np.bincount(np.searchsorted(distinct, each[learn]), minlength=len(distinct)).astype(np.uint32)
-        if len(distinct) and not distinct[0]:
+        distinct, at = np.unique(np.concatenate(ngram_keys(words, begin, order)), return_inverse=True)
+        counts = np.bincount(at[np.tile(learn, order)], minlength=len(distinct)).astype(np.uint32)
+        if not distinct[0]:
             distinct, counts = distinct[1:], counts[1:]
         bucket, first, last = _bucket_spans(distinct, buckets)
         spans = list(zip(first.tolist(), last.tolist()))
@@ -222,10 +220,10 @@ def score(
         words, begin = _tokens_of(texts)
         keys = ngram_keys(words, begin, order)
         parts = sorted(zip(answers["bucket"].to_pylist(), answers["sums"].to_pylist()))
-        # In the order of the block's own list, before which comes the key of no n-gram.
-        distinct = np.unique(np.concatenate([np.zeros(1, np.uint64), *keys]))
-        sums = np.concatenate([np.zeros(1), *(_unpacked(raw, np.uint64).astype(np.float64) for _, raw in parts)])
-        counts = [sums[np.searchsorted(distinct, each)] for each in keys]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        # In the order of the block's own list, before which may come the key of no n-gram.
+        sums = [np.zeros(int(distinct[0] == 0)), *(_unpacked(raw, np.uint64).astype(np.float64) for _, raw in parts)]
+        counts = np.split(np.concatenate(sums)[at], order)
         seen = counts[0]
         unigram = (seen + 0.5) / divisor
         weight = weights(counts, begin, unigram, share)
