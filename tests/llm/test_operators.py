@@ -123,6 +123,51 @@ def test_sparse_sites_shrink_toward_all(spark, make):
 # 3
 
 
+def test_posteriors_against_plain_sums(spark, make):
+    """Sites' posteriors from labels and the classifier's own guesses, group by group."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        host, path = rng.choice(["a", "b", None]), rng.choice(["x", "y"])
+        good = rng.random() < (0.9 if host == "a" else 0.3)
+        rows.append((i, " ".join("word" if good else "###" for _ in range(rng.randint(3, 40))), host, path, "clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, odds string")
+    told = {i: int("word" in t) for i, t, *_ in rows if i % 3 == 0}
+    labels = spark.createDataFrame([*told.items(), (5, None), (900, 1)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in quality_classifier.classify(docs, labels).collect()}
+    value = {i: float(told.get(i, 1 / (1 + math.exp(-found[i].document_odds)))) for i in found}
+    mean = sum(value.values()) / len(value)
+
+    def strength(key):
+        groups = collections.defaultdict(list)
+        for i, _, *site in rows:
+            groups[key(site)].append(value[i])
+        n, k = len(rows), len(groups)
+        within = sum((v - np.mean(g)) ** 2 for g in groups.values() for v in g) / (n - k)
+        between = sum(len(g) * (np.mean(g) - mean) ** 2 for g in groups.values())
+        variance = (between - (k - 1) * within) / (n - sum(len(g) ** 2 for g in groups.values()) / n)
+        return groups, min(max(within / max(variance, 1e-6), 1.0), 1e4)
+
+    hosts, host_prior = strength(lambda site: site[0])
+    paths, path_prior = strength(lambda site: tuple(site[:2]))
+    for i, _, host, path, _ in rows:
+        of_host = (sum(hosts[host]) - value[i] + host_prior * mean) / (len(hosts[host]) - 1 + host_prior)
+        group = paths[host, path]
+        of_path = (sum(group) - value[i] + path_prior * of_host) / (len(group) - 1 + path_prior)
+        assert abs(found[i].host_posterior - of_host) < 1e-9
+        assert abs(found[i].path_posterior - of_path) < 1e-9
+        odds = found[i].document_odds + math.log(of_path / (1 - of_path)) - math.log(mean / (1 - mean))
+        assert abs(found[i].posterior - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
+def test_classifier_sample_is_bounded(spark, make, monkeypatch):
+    docs = make([f"word {'#' * (i % 7)} " * (i % 11 + 1) for i in range(200)])
+    docs = docs.selectExpr("*", "'a' AS source", "'x' AS lang")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 7 < 3 AS INT) AS quality")
+    monkeypatch.setattr(quality_classifier, "MOST_LABELLED", 50)
+    assert len({r.posterior for r in quality_classifier.classify(docs, labels).collect()}) > 1
+
+
 def best_by_enumeration(text, pieces, unknown):
     """All segmentations of a word, by score; the counts of the best ones."""
     best = {0: [(0.0, 0)]}

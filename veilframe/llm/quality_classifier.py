@@ -3,7 +3,9 @@
 A logistic classifier over a document's measurements gives its own evidence. Documents of a
 site share a prior: what is known of a path (a language section of a host) is shrunk toward
 its host, the host toward all hosts, the more the fewer documents there are. How strongly is
-estimated from how much hosts and paths differ. All of it is grouped sums, joined back.
+estimated from how much hosts and paths differ. A document counts for its site with its label
+where it has one, else with what the classifier makes of it. All of it is grouped sums, joined
+back.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ from veilframe.llm.quality_rules import MEASURES, ledger
 from veilframe.llm.storage import Workspace
 from veilframe.llm.text import only
 
-# The classifier is fitted on at most so many labelled documents, those of least id hash.
+# The classifier is fitted on at most so many labelled documents, drawn by a hash of their ids
+# and measurements; where there are more, rows above the hash that leaves so many never leave
+# their tasks.
 MOST_LABELLED = 20_000
 RIDGE = 1.0
 # A site's evidence never counts for more than this many of its documents' worth of log-odds.
 SITE_WEIGHT = 1.0
 _EDGE = 1e-4
+_DRAWS = 1 << 40
 
 FEATURES = {
     "length": "ln(1 + n_words)",
@@ -50,7 +55,11 @@ def fit(labelled: DataFrame, label: str = "quality") -> Classifier:
     """Ridge logistic regression by Newton's method, on a bounded sample brought to the
     driver. With labels of one kind or none, only the intercept differs from zero."""
     columns = [F.expr(f).cast("double").alias(name) for name, f in FEATURES.items()]
-    rows = labelled.where(F.col(label).isNotNull()).orderBy(F.xxhash64("id"), *MEASURES).limit(MOST_LABELLED)
+    rows = labelled.where(F.col(label).isNotNull()).withColumn("draw", F.pmod(F.xxhash64("id", *MEASURES), F.lit(_DRAWS)))
+    n = rows.count()
+    if n > MOST_LABELLED:
+        rows = rows.where(F.col("draw") < int(_DRAWS * MOST_LABELLED / n))
+    rows = rows.orderBy("draw", "id", *MEASURES).limit(MOST_LABELLED)
     data = np.array(rows.select(*columns, F.col(label).cast("double")).collect(), float).reshape(-1, len(FEATURES) + 1)
     y = data[:, -1]
     prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
@@ -72,21 +81,23 @@ def _logit(p: Column) -> Column:
 
 
 def _strength(groups: DataFrame, mean: float) -> float:
-    """How many documents the prior is worth, by moments: the share of the spread between
-    group means that the spread within does not explain. ``groups`` has n and good."""
+    """How many documents the prior is worth, by moments: the spread within groups beside the
+    spread between their means that it does not explain. ``groups`` has n, good, the sum of
+    what documents count, and squares, the sum of its squares."""
     share = F.col("good") / F.col("n")
     row = groups.agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("k"),
         F.sum(F.col("n") * (share - F.lit(mean)) ** 2).alias("between"),
-        F.sum(F.col("n") * F.col("n")).alias("squares"),
+        F.sum(F.col("squares") - F.col("n") * share * share).alias("within"),
+        F.sum(F.col("n") * F.col("n")).alias("sizes"),
     ).first()
-    if not row.n or row.k < 2:
+    if not row.n or row.k < 2 or row.n == row.k:
         return 1.0
-    within = max(mean * (1 - mean), _EDGE)
-    spread = row.n - row.squares / row.n
+    within = max(row.within / (row.n - row.k), _EDGE)
+    spread = row.n - row.sizes / row.n
     variance = (row.between - (row.k - 1) * within) / spread if spread > 0 else 0.0
-    return float(min(max(within / max(variance, 1e-6) - 1, 1.0), 1e4))
+    return float(min(max(within / max(variance, 1e-6), 1.0), 1e4))
 
 
 def classify(
@@ -117,14 +128,17 @@ def classify(
     known = only(labels, id_col, label_col).toDF("labelled", "quality").groupBy("labelled").agg(F.min("quality").alias("quality"))
     classifier = fit(measured.join(known, F.col("id") == F.col("labelled")), "quality")
     odds = classifier.log_odds()
-    scored = measured.select("id", "host", "path", odds.alias("odds"), (1 / (1 + F.exp(-odds))).alias("p"))
-    paths = work.store(
-        scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good"))
+    labelled = measured.join(known, F.col("id") == F.col("labelled"), "left")
+    p = F.coalesce(F.col("quality").cast("double"), 1 / (1 + F.exp(-odds)))
+    scored = labelled.select("id", "host", "path", odds.alias("odds"), p.alias("p"))
+    sums = F.count(F.lit(1)).alias("n"), F.sum("p").alias("good"), F.sum(F.col("p") * F.col("p")).alias("squares")
+    paths = work.store(scored.groupBy("host", "path").agg(*sums))
+    hosts = paths.groupBy("host").agg(
+        F.sum("n").alias("host_n"), F.sum("good").alias("host_good"), F.sum("squares").alias("host_squares")
     )
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     everything = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = everything.good / everything.n if everything.n else 0.5
-    host_prior = _strength(hosts.select(F.col("host_n").alias("n"), F.col("host_good").alias("good")), mean)
+    host_prior = _strength(hosts.toDF("host", "n", "good", "squares"), mean)
     path_prior = _strength(paths, mean)
     sites = paths.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
     sites = sites.select(
