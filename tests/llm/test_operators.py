@@ -751,3 +751,40 @@ def test_similar_links_connect_what_all_pairs_do():
     pairs = [(i, j) for j in range(len(texts)) for i in range(j) if line_dedup._similar(sets[i], sets[j], 0.8)]
     links = line_dedup.similar_links(line_dedup.shingle_hashes(texts, 10), 0.8)
     assert union_find(len(texts), links) == union_find(len(texts), pairs) and len(links) < len(texts)
+
+
+def test_lines_are_read_once(make):
+    """Texts of lines come from the pass that finds their places, and connected lines are still compared."""
+    base = "the quick brown fox jumps over the lazy dog while seven wizards watch from afar"
+    docs = make([f"{base} number {i}\nonly here {i} {'x' * 30}{i * i}" for i in range(30)])
+    rows = docs.select(docs.doc_id.alias("id"), "text").selectExpr("*", "xxhash64(text) AS mark")
+    places = line_dedup._places(rows, line_dedup.SHINGLE, line_dedup.ROWS, line_dedup.BANDS)
+    words = {r.words for r in places.select("words").where("words IS NOT NULL").collect()}
+    assert words == {line for r in docs.collect() for line in r.text.lower().split("\n")}
+    kept = line_dedup.drop_lines(docs).orderBy("doc_id").collect()
+    assert [r["_n_removed"] for r in kept] == [0] + [1] * 29
+
+
+def test_bins_borrow_what_their_own_sequence_draws():
+    """Empty bins are filled in blocks of attempts, with the values that attempts one by one find."""
+    raw = "a|bcd|some words of a line|word word word word word|東京 🙂 and some more of it".encode()
+    texts = raw.split(b"|")
+    left = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    right = left + [len(t) for t in texts]
+    size = 52
+    table = line_dedup.signatures(raw, left, right, 10, size)
+    for text, row in zip(texts, table.tolist()):
+        symbols = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+        values = [line_dedup.xxhash.xxh64_intdigest(text)]
+        if len(symbols) >= 10:
+            values = line_dedup.window_hashes(symbols, 10).tolist()
+        bins = {}
+        for v in values:
+            at = (v >> 32) * size >> 32
+            bins[at] = min(bins.get(at, 1 << 64), v & 0xFFFFFFFE)
+        for bin_ in range(size):
+            at, attempt = bin_, 0
+            while at not in bins:
+                attempt += 1
+                at = int(line_dedup._mixed(np.array([bin_ + size * attempt], np.uint64))[0]) % size
+            assert row[bin_] == bins[at]

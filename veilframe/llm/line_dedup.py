@@ -48,6 +48,9 @@ REMEMBERED = 1 << 20
 # The bit map of lines whose texts are needed: two megabytes.
 SKETCH_BITS = 1 << 24
 
+# Bins drawn at once for empty ones.
+DRAWS = 1 << 20
+
 # Bytes of text worked on at once; signatures take about eighty times as much memory.
 CHUNK = 1 << 18
 
@@ -57,9 +60,22 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= _MIX
+    x ^= x >> np.uint64(32)
+    x *= _MIX
+    x ^= x >> np.uint64(32)
+    return x
+
+
+# Of the code points up to U+FFFF, which are nearly all; a table of half a megabyte.
+_SYMBOL = _mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
+def _mixed_symbols(symbols: np.ndarray) -> np.ndarray:
+    if len(symbols) and symbols.max() >= len(_SYMBOL):
+        return _mixed(symbols.astype(np.uint64) + np.uint64(1))
+    return _SYMBOL[symbols]
 
 
 @lru_cache(maxsize=2)
@@ -75,7 +91,7 @@ def window_hashes(symbols: np.ndarray, width: int) -> np.ndarray:
     n = len(symbols)
     up, down = _powers(1 << (n - 1).bit_length())
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mixed(symbols.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    np.cumsum(_mixed_symbols(symbols) * up[:n], out=sums[1:])
     return _mixed((sums[width:] - sums[:-width]) * down[: n - width + 1])
 
 
@@ -106,6 +122,14 @@ class Lines:
         return np.unique(self.hash, return_index=True)[1]
 
 
+@lru_cache(maxsize=16)
+def _drawn(size: int, block: int) -> np.ndarray:
+    """The bins that each empty bin draws at the attempts from ``2 ** block`` on, as many again."""
+    attempts = np.arange(1 << block, 2 << block, dtype=np.uint64) * np.uint64(size)
+    bins = np.arange(size, dtype=np.uint64)
+    return (_mixed(bins[:, None] + attempts) % np.uint64(size)).astype(np.int64)
+
+
 def signatures(whole: bytes, left: np.ndarray, right: np.ndarray, shingle: int, size: int) -> np.ndarray:
     """One-permutation MinHash of ``size`` bins for each text ``whole[left:right]``. An empty
     bin borrows the value of a bin drawn by its own fixed sequence, the same for all texts."""
@@ -131,18 +155,24 @@ def signatures(whole: bytes, left: np.ndarray, right: np.ndarray, shingle: int,
     empty = np.uint64(0xFFFFFFFF)
     table = np.full(len(left) * size, empty, np.uint64)
     np.minimum.at(table, text * size + bins.astype(np.int64), values & np.uint64(0xFFFFFFFE))
-    table = table.reshape(-1, size)
-    holes = np.argwhere(table == empty)
     filled = table.copy()
-    attempt = 0
+    holes = np.flatnonzero(table == empty)
+    block = 0
     while len(holes):
-        attempt += 1
-        drawn = _mixed(holes[:, 1].astype(np.uint64) + np.uint64(size * attempt)) % np.uint64(size)
-        found = table[holes[:, 0], drawn.astype(np.int64)]
-        done = found != empty
-        filled[holes[done, 0], holes[done, 1]] = found[done]
-        holes = holes[~done]
-    return filled
+        # The later the attempts, the more at once, for fewer and fewer holes.
+        drawn = _drawn(size, block)
+        left_open = []
+        width = max(DRAWS >> block, 1)
+        for part in np.split(holes, range(width, len(holes), width)):
+            bin_ = part % size
+            found = table[(part - bin_)[:, None] + drawn[bin_]]
+            first = (found != empty).argmax(axis=1)
+            value = found[np.arange(len(part)), first]
+            filled[part] = value
+            left_open.append(part[value == empty])
+        holes = np.concatenate(left_open)
+        block += 1
+    return filled.reshape(-1, size)
 
 
 def band_keys(table: np.ndarray, rows: int) -> np.ndarray:
@@ -173,8 +203,8 @@ class _Unsent:
 
 
 def _places(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
-    """(line, id, mark, number, chars, bands): where each line stands. Its bands come with the
-    first place a task meets it at, other places have none."""
+    """(line, id, mark, number, bands, words): where each line stands. Its bands and its text
+    come with the first place a task meets it at, other places have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsent = _Unsent()
@@ -183,36 +213,36 @@ def _places(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
                 lines = Lines(chunk)
                 own = unsent.among(lines)
                 row, sizes = pa.array(lines.row), np.zeros(len(lines.hash) + 1, np.int32)
-                keys, chars = np.zeros(0, np.int64), lines.right - lines.left
+                keys, cut = np.zeros(0, np.int64), []
                 if len(own):
                     own = np.sort(own)
                     table = signatures(lines.whole, lines.left[own], lines.right[own], shingle, rows * bands)
                     keys = band_keys(table, rows).reshape(-1)
                     sizes[own + 1] = bands
+                    cut = [lines.whole[a:b] for a, b in zip(lines.left[own].tolist(), lines.right[own].tolist())]
+                nth = np.cumsum(sizes[1:] > 0) - 1
+                words = pa.array(cut, pa.binary()).cast(pa.string()).take(pa.array(nth, mask=sizes[1:] == 0))
                 columns = [pa.array(lines.hash), *[batch[c][chunk.rows].take(row) for c in ("id", "mark")]]
-                columns += [pa.array(lines.number.astype(np.int32)), pa.array(chars.astype(np.int64))]
+                columns.append(pa.array(lines.number.astype(np.int32)))
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(keys)))
-                yield pa.RecordBatch.from_arrays(columns, ["line", "id", "mark", "number", "chars", "bands"])
+                yield pa.RecordBatch.from_arrays([*columns, words], ["line", "id", "mark", "number", "bands", "words"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    schema = f"line bigint, id {kind}, mark bigint, number int, chars bigint, bands array<bigint>"
+    schema = f"line bigint, id {kind}, mark bigint, number int, bands array<bigint>, words string"
     return docs.select("id", "mark", "text").mapInArrow(run, schema)
 
 
-def _line_texts(docs: DataFrame, sketch: bytes) -> DataFrame:
+def _line_texts(places: DataFrame, sketch: bytes) -> DataFrame:
+    """(line, text) of the lines in the sketch, perhaps repeated, and of a few others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, unsent = np.frombuffer(sketch, np.int64), _Unsent()
+        bits = np.frombuffer(sketch, np.int64)
         for batch in batches:
-            for chunk in chunks(batch["text"], CHUNK):
-                lines = Lines(chunk)
-                own = unsent.among(lines)
-                place = lines.hash[own] & (SKETCH_BITS - 1)
-                own = own[(bits[place >> 6] >> (place & 63)) & 1 == 1]
-                cut = [lines.whole[a:b] for a, b in zip(lines.left[own].tolist(), lines.right[own].tolist())]
-                columns = [pa.array(lines.hash[own]), pa.array(cut, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["line", "text"])
+            place = batch["line"].to_numpy() & (SKETCH_BITS - 1)
+            yield batch.filter(pa.array((bits[place >> 6] >> (place & 63)) & 1 == 1))
 
-    return docs.mapInArrow(run, "line bigint, text string")
+    texts = places.where("words IS NOT NULL").select("line", F.col("words").alias("text"))
+    return texts.mapInArrow(run, "line bigint, text string")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -244,8 +274,8 @@ def _edges(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
 
 
 def _members(places: DataFrame) -> DataFrame:
-    """(band, line, chars, least) of the lines of every bucket with two or more; ``least`` is
-    the bucket's least line."""
+    """(band, line, least) of the lines of every bucket with two or more; ``least`` is the
+    bucket's least line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, "band"):
@@ -257,21 +287,21 @@ def _members(places: DataFrame) -> DataFrame:
             least = np.repeat(batch["line"].to_numpy()[edges[:-1]], sizes)
             several = pa.array(np.repeat(sizes > 1, sizes))
             columns = [*batch.columns, pa.array(least)]
-            yield pa.RecordBatch.from_arrays(columns, ["band", "line", "chars", "least"]).filter(several)
+            yield pa.RecordBatch.from_arrays(columns, ["band", "line", "least"]).filter(several)
 
-    banded = places.select(F.explode("bands").alias("band"), "line", "chars")
+    banded = places.select(F.explode("bands").alias("band"), "line")
     # Spark sorts by one number alone much faster than by two.
     ordered = banded.repartition("band").sortWithinPartitions("band")
-    return ordered.mapInArrow(run, "band bigint, line bigint, chars bigint, least bigint")
+    return ordered.mapInArrow(run, "band bigint, line bigint, least bigint")
 
 
-def _meetings(members: DataFrame, work: Workspace, together: int) -> DataFrame:
+def _meetings(members: DataFrame, texts: DataFrame, work: Workspace, together: int) -> DataFrame:
     """(key, part, other, line): which lines are compared with which. Lines of equal key and
     parts meet in one task: families by their least line, buckets of larger families by band,
     and the parts of larger buckets two by two."""
     stars = members.where("line != least").select(F.col("line").alias("node"), F.col("least").alias("root"))
     families = connected_components(stars, work).select(F.col("node").alias("line"), F.col("root").alias("family"))
-    lines = members.select("line", "chars").distinct().join(families, "line", "left")
+    lines = texts.select("line", F.octet_length("text").alias("chars")).join(families, "line", "left")
     lines = work.store(lines.withColumn("family", F.coalesce("family", "line")))
 
     def sized(rows: DataFrame, key: str) -> DataFrame:
@@ -283,10 +313,10 @@ def _meetings(members: DataFrame, work: Workspace, together: int) -> DataFrame:
     met = lines.join(sizes.where("fits"), "family").select(
         F.col("family").alias("key"), whole.alias("part"), whole.alias("other"), "line"
     )
-    large = lines.join(sizes.where("NOT fits"), "family").select("line")
+    large = lines.join(sizes.where("NOT fits"), "family").select("line", "chars")
     if large.isEmpty():
         return met
-    buckets = work.store(members.join(large, "line", "left_semi").select("band", "line", "chars"))
+    buckets = work.store(members.join(large, "line").select("band", "line", "chars"))
     sizes = sized(buckets, "band")
     # Two parts meet at a time, so each has half of what fits.
     n_parts = F.greatest(F.ceil(F.col("n") * 2 / F.lit(max(together, 2))), F.ceil(F.col("total") * 2 / F.lit(CHARS_TOGETHER)))
@@ -310,6 +340,23 @@ def _similar(one: frozenset, other: frozenset, similarity: float) -> bool:
     return both >= similarity * (len(one) + len(other) - both)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+def _similar_values(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    """``_similar`` for sets given as arrays of distinct numbers, which are faster to make and meet."""
+    if min(len(one), len(other)) < similarity * max(len(one), len(other)):
+        return False
+    values = np.concatenate([one, other])
+    values.sort()
+    both = int(np.count_nonzero(values[1:] == values[:-1]))
+    return both >= similarity * (len(one) + len(other) - both)
+
+
 def shingle_hashes(texts: list[str], shingle: int) -> list[np.ndarray]:
     """The hashes of each text's shingles, some of them repeated, from one pass over all texts."""
     hashes, start = [], 0
@@ -342,18 +389,18 @@ def similar_links(hashes: list[np.ndarray], similarity: float) -> list[tuple[int
     """
     n, links = len(hashes), []
     component = np.arange(n)
-    sets: dict[int, frozenset] = {}
+    sets: dict[int, np.ndarray] = {}
 
-    def shingles(i: int) -> frozenset:
+    def shingles(i: int) -> np.ndarray:
         if i not in sets:
             if len(sets) >= KNOWN_SETS:
                 sets.clear()
-            sets[i] = frozenset(hashes[i].tolist())
+            sets[i] = _distinct(hashes[i])
         return sets[i]
 
     def compare(a: int, others) -> None:
         for b in others:
-            if component[a] != component[b] and _similar(shingles(a), shingles(b), similarity):
+            if component[a] != component[b] and _similar_values(shingles(a), shingles(b), similarity):
                 links.append((a, b))
                 component[component == component[b]] = component[a]
 
@@ -381,7 +428,7 @@ def similar_links(hashes: list[np.ndarray], similarity: float) -> list[tuple[int
 def _shingle_counts(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """How often each text has each column's shingles, of those that several texts have, and the
     number of shingles of each text."""
-    own = [np.unique(h) for h in hashes]
+    own = [_distinct(h) for h in hashes]
     sizes = np.array([len(h) for h in own])
     owner = np.repeat(np.arange(len(own)), sizes)
     _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
@@ -415,7 +462,6 @@ def _links(meetings: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
 
 def line_links(
-    docs: DataFrame,
     places: DataFrame,
     work: Workspace,
     shingle: int = SHINGLE,
@@ -423,14 +469,14 @@ def line_links(
     smallest: int = TOGETHER,
 ) -> DataFrame:
     """(node, root): the components of the similarity links between distinct lines, without
-    the least line of each. ``docs`` has ``text``, and ``places`` is what ``_places`` made of it.
+    the least line of each. ``places`` is what ``_places`` made of the documents.
     Families and buckets of more than ``smallest`` lines are compared in parts, which is a
     matter of memory and changes no result but for pairs that share no bucket."""
     members = work.store(_members(places))
-    meetings = work.store(_meetings(members, work, smallest))
     wanted = members.select("line").distinct()
-    texts = _line_texts(docs.select("text"), _sketch(wanted)).join(wanted, "line", "left_semi")
+    texts = _line_texts(places, _sketch(wanted)).join(wanted, "line", "left_semi")
     found = work.store(texts.dropDuplicates(["line"]))
+    meetings = work.store(_meetings(members, found, work, smallest))
     return connected_components(work.store(_links(meetings, found, shingle, similarity)), work)
 
 
@@ -465,7 +511,7 @@ def _removals(
     """(id, mark, again, number), perhaps repeated: the lines to remove; ``again`` has those that equal rows
     lose after the first of them, which are all their lines."""
     everywhere = work.store(_places(docs, shingle, rows, bands))
-    roots = work.store(line_links(docs, everywhere, work, shingle, **settings))
+    roots = work.store(line_links(everywhere, work, shingle, **settings))
     places = everywhere.select("line", "id", "mark", "number")
     # Lines at several places, and lines linked to others; the rest stays where it is.
     again = places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line")
