@@ -55,6 +55,18 @@ def test_components_of_long_paths(spark):
     assert found == {x: find(x) for x in list(parent) if find(x) != x}
 
 
+def test_doubling_sorts_only_what_is_equal_still(monkeypatch):
+    """Names in random order take few comparisons after the first round, however many there are."""
+    rng = np.random.default_rng(5)
+    names = rng.integers(0, 2000, 20_000)
+    names[:50] = names[100:150]
+    sizes = []
+    monkeypatch.setattr(induced_sorting, "_sorted_keys", lambda key: sizes.append(len(key)) or np.argsort(key))
+    plain = names.tolist()
+    assert induced_sorting._by_doubling(names).tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
+    assert sizes[0] == 20_000 and len(sizes) > 3 and sum(sizes[2:]) < 2000
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline

@@ -112,21 +112,37 @@ def _same_spans(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray)
     return same
 
 
+def _sorted_keys(key: np.ndarray) -> np.ndarray:
+    # Equal keys keep one place, so their order does not matter.
+    return np.argsort(key)
+
+
 def _by_doubling(names: np.ndarray) -> np.ndarray:
+    """The suffix array by doubling the symbols compared. A suffix keeps the place of the first
+    of those it still equals, and only suffixes with equals are sorted again."""
     n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[:-width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
-        width *= 2
+    rank = np.zeros(n, np.int64)
+    active, width = np.arange(n), 0
+    # At first the names themselves are sorted, then what follows.
+    key = names.astype(np.int64)
+    while len(active):
+        order = _sorted_keys(key)
+        active, key = active[order], key[order]
+        before, at = rank[active], np.arange(len(active))
+        group = np.concatenate([[True], before[1:] != before[:-1]])
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(fresh, at, 0))
+        rank[active] = before + first - np.maximum.accumulate(np.where(group, at, 0))
+        alone = fresh & np.append(fresh[1:], True)
+        active = active[~alone]
+        width = max(1, width * 2)
+        after = np.zeros(len(active), np.int64)
+        inside = active + width < n
+        after[inside] = rank[active[inside] + width] + 1
+        key = rank[active] * (n + 1) + after
+    in_order = np.empty(n, np.int64)
+    in_order[rank] = np.arange(n)
+    return in_order
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
