@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from veilframe.llm import induced_sorting
+from veilframe.llm import components, induced_sorting
 from veilframe.llm.components import connected_components
 from veilframe.llm.storage import Workspace
 
@@ -67,6 +67,28 @@ def test_doubling_sorts_only_what_is_equal_still(monkeypatch):
     assert sizes[0] == 20_000 and len(sizes) > 3 and sum(sizes[2:]) < 2000
 
 
+@pytest.mark.parametrize("piece", [50, 1000])
+def test_components_in_pieces(spark, piece):
+    """Links of many pieces, and so many of one node that a piece has to be contracted half-way."""
+    rng = random.Random(piece)
+    links = [(i, i + 1) for i in range(0, 200)] + [(5000, x) for x in range(5001, 6500)]
+    links += [(x, x + 1) for x in range(5001, 6500, 3)] + [(8000 + 2 * i, 8001 + 2 * i) for i in range(400)]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "node bigint, root bigint").repartition(5)
+    found = {r.node: r.root for r in connected_components(df, Workspace(spark, "test"), piece).collect()}
+    expected = {i: 0 for i in range(1, 201)} | {x: 5000 for x in range(5001, 6500)}
+    assert found == expected | {8001 + 2 * i: 8000 + 2 * i for i in range(400)}
+
+
+def test_links_of_one_piece_need_no_joins(spark, monkeypatch):
+    """A path through many batches of several partitions, which rounds of joins made much of."""
+    monkeypatch.setattr(components, "_large_star", None)
+    links = [((i * 7919) % 30_011, (i * 7919 + 1) % 30_011) for i in range(30_010)]
+    df = spark.createDataFrame(links, "node bigint, root bigint").repartition(4)
+    roots = connected_components(df, Workspace(spark, "test"))
+    assert roots.count() == 30_010 and {r.root for r in roots.select("root").distinct().collect()} == {0}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline

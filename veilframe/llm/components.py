@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.storage import Workspace
 
 LINK = "node bigint, root bigint"
+# Links a task holds at once: sixteen megabytes.
+PIECE = 1 << 20
 
 
 def find_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,11 +34,28 @@ def find_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the links of a partition by as few as connect the same nodes, batch by batch."""
-    for batch in batches:
-        node, root = find_roots(batch["node"].to_numpy(), batch["root"].to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
+def _contract(piece: int):
+    """Replace the links of a partition by as few as connect the same nodes, ``piece`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, root, size = [], [], 0
+        for batch in batches:
+            node.append(batch["node"].to_numpy())
+            root.append(batch["root"].to_numpy())
+            size += batch.num_rows
+            if size > piece:
+                forest = find_roots(np.concatenate(node), np.concatenate(root))
+                # What shrank by half waits for more links.
+                if len(forest[0]) > piece // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest], ["node", "root"])
+                    node, root, size = [], [], 0
+                else:
+                    node, root, size = [forest[0]], [forest[1]], len(forest[0])
+        if node:
+            forest = find_roots(np.concatenate(node), np.concatenate(root))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest], ["node", "root"])
+
+    return run
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -59,22 +78,33 @@ def _small_star(links: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(links: DataFrame, work: Workspace) -> DataFrame:
+def connected_components(links: DataFrame, work: Workspace, piece: int = PIECE) -> DataFrame:
     """(node, root) for every node of the links (node, root: bigint) that is not the least
     of its component; ``root`` is the least node reachable.
 
-    Links with a null end or from a node to itself link nothing. Union-find runs inside each
-    batch, which leaves at most one link a node; then alternating large-star and small-star
-    steps shorten all paths until only stars are left, in a number of rounds that grows with
-    the logarithm of the longest path. Links stay in tables; none are sent to the driver.
+    Links with a null end or from a node to itself link nothing. Union-find runs inside
+    pieces of so many links, as few as hold them all, which leaves at most one link a node in
+    each; links of one piece are done with that. Those of more go through alternating
+    large-star and small-star steps, which shorten all paths until only stars are left, in a
+    number of rounds that grows with the logarithm of the longest path. Links stay in tables;
+    none are sent to the driver.
     """
     apart = links.where("node != root").select(
         F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")
     )
-    current = work.store(apart.distinct().mapInArrow(_contract, LINK).distinct())
-    while not _all_stars(current):
-        shorter = _small_star(_large_star(current).distinct()).distinct().mapInArrow(_contract, LINK)
-        following = work.store(shorter.distinct())
+
+    def contracted(rows: DataFrame) -> tuple[DataFrame, bool]:
+        found = work.store(rows.distinct().mapInArrow(_contract(piece), LINK).distinct())
+        pieces = -(-found.count() // piece)
+        if not pieces:
+            return found, True
+        fewer = work.store(found.coalesce(pieces).mapInArrow(_contract(piece), LINK))
+        work.drop(found)
+        return fewer, pieces == 1 or _all_stars(fewer)
+
+    current, done = contracted(apart)
+    while not done:
+        following, done = contracted(_small_star(_large_star(current).distinct()))
         work.drop(current)
         current = following
     return current
